@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, pii, secrets, url_reputation
+from . import decontam, langid, pii, secrets, simhash, url_reputation
 
 QUERIES = {
     "op2_pii": pii.op2_pii,
     "op4_url_filter": url_reputation.op4_url_filter,
+    "op6_simhash": simhash.op6_simhash,
+    "op7_decontaminate": decontam.op7_decontaminate,
     "op9_language": langid.op9_language,
     "op10_secrets": secrets.op10_secrets,
 }
-ORACLE_SQL = {"op4_url_filter": url_reputation.ORACLE_SQL}
+ORACLE_SQL = {"op4_url_filter": url_reputation.ORACLE_SQL, "op7_decontaminate": decontam.ORACLE_SQL}

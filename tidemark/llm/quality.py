@@ -1,7 +1,7 @@
 """Quality grades by ordinal cumulative-link regression.
 
-A document's grade y in 0..K-1 follows P(y > k) = sigmoid(w.x - t_k) with one weight vector w over hashed words and pairs
-of words, and ordered thresholds t_0 < t_1 < ... (kept ordered by learning the logarithms of their gaps). Scoring gives the
+A document's grade y in 0..K-1 follows P(y > k) = sigmoid(w.x - t_k) with one weight vector w over hashed words and
+forms of words, and ordered thresholds t_0 < t_1 < ... (kept ordered by learning the logarithms of their gaps). Scoring gives the
 expected grade and the tail probability P(y >= least), by which documents are selected.
 
 Training is mini-batch gradient descent in numpy on a bounded sample of labelled rows: the ``most`` rows of each grade with
@@ -15,6 +15,8 @@ labels of a document the lowest grade holds; with one grade or none to learn fro
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -24,25 +26,39 @@ from pyspark.sql import functions as F
 
 from .common import each_text, rows, two_columns
 
-BITS = 18
-#: Labelled rows of each grade that are learned from.
-MOST = 1500
-WORD = re.compile(rb"[^\x00-\x20]+")
+BITS = 22
+#: Labelled rows of each grade that are learned from, and rows that must share a feature for it to count.
+MOST, SHARED = 1500, 8
+#: The form of a word: capitals, small letters, digits; all other bytes stand for themselves.
+FORM = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 57 if 48 <= c <= 57 else c for c in range(256))
+EDGE = b"!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
+RUNS = re.compile(rb"(.)\1+")
+AGAIN = 1  # the feature of words that repeat the word before
+
+
+@lru_cache(1 << 16)
+def word_features(w: bytes) -> tuple[int, int]:
+    """Numbers of a word as such, folded and without its edges, and of its form."""
+    mask = (1 << BITS) - 1
+    return crc32(w.lower().strip(EDGE)) & mask, crc32(RUNS.sub(rb"\1", w[:64].translate(FORM)), 7) & mask
 
 
 def hashed(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers and weights (square roots of counts, scaled to unit length) of a whole text."""
+    """Feature numbers and weights of a whole text: words count by presence, forms and repeats by their share."""
     words = text.encode("utf-8", "replace").split() if text else []
     if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    codes = {w: crc32(w) for w in set(words)}
-    one = np.array([codes[w] for w in words], np.uint64)
-    two = one[:-1] * np.uint64(0x9E3779B1) + one[1:] if len(one) > 1 else one[:0]
-    low = {w: crc32(w.lower(), 7) for w in codes}
-    folded = np.array([low[w] for w in words], np.uint64)
-    index, count = np.unique(np.concatenate((one, two * np.uint64(0x85EBCA6B) >> np.uint64(13), folded)) & np.uint64((1 << BITS) - 1), return_counts=True)
-    value = np.sqrt(count)
-    return index.astype(np.int32), (value / np.sqrt((value * value).sum())).astype(np.float32)
+    got: dict[int, float] = {}
+    shares: dict[int, int] = {AGAIN: sum(map(bytes.__eq__, words, words[1:]))}
+    for w, n in Counter(words).items():
+        word, form = word_features(w)
+        got[word] = 1.0
+        shares[form] = shares.get(form, 0) + n
+    for form, n in shares.items():
+        got[form] = got.get(form, 0) + 4 * n / len(words)
+    index = np.fromiter(got, np.int32, len(got))
+    order = np.argsort(index)
+    return index[order], np.fromiter(got.values(), np.float32, len(got))[order]
 
 
 def sigmoid(z):
@@ -51,7 +67,7 @@ def sigmoid(z):
 
 class Ordinal:
     def __init__(self, grades: int):
-        self.weights, self.first, self.gaps = np.zeros(1 << BITS), -0.5, np.zeros(max(0, grades - 2))
+        self.weights, self.first, self.gaps = np.zeros(1 << BITS, np.float32), -0.5, np.zeros(max(0, grades - 2))
 
     @property
     def thresholds(self) -> np.ndarray:
@@ -64,35 +80,40 @@ class Ordinal:
     def score(self, index: np.ndarray, value: np.ndarray) -> float:
         return float(self.weights[index] @ value) if len(index) else 0.0
 
-    def fit(self, xs: list[tuple[np.ndarray, np.ndarray]], ys: np.ndarray, epochs: int = 30, rate: float = 1.5, decay: float = 1e-5, seed: int = 5) -> Ordinal:
+    def fit(self, xs: list[tuple[np.ndarray, np.ndarray]], ys: np.ndarray, shared: int = SHARED, epochs: int = 40, rate: float = 0.3, sparse: float = 1e-3, seed: int = 5) -> Ordinal:
+        """Adaptive proximal gradient ascent on the balanced likelihood less ``sparse`` times the weights' sizes, over the features that ``shared`` rows have at least."""
         rng, k = np.random.default_rng(seed), len(self.gaps) + 1
         share = np.bincount(ys, minlength=k + 1)
         balance = np.where(share > 0, len(ys) / (np.maximum(share, 1) * max(1, (share > 0).sum())), 0)
-        squares, own = np.full(1 << BITS, 1e-3), np.full(k, 1.0)
+        seen, rows_with = np.unique(np.concatenate([x[0] for x in xs]), return_counts=True)
+        names = seen[rows_with >= shared]
+        kept = []
+        for index, value in xs:
+            at = np.minimum(np.searchsorted(names, index), max(0, len(names) - 1))
+            ok = names[at] == index if len(names) else np.zeros(len(index), bool)
+            kept.append((at[ok], value[ok]))
+        weights, squares, own = np.zeros(len(names)), np.full(len(names), 1e-2), np.full(k, 1.0)
         for _ in range(epochs):
-            for some in np.array_split(rng.permutation(len(ys)), max(1, len(ys) // 32)):
-                index, value = (np.concatenate([xs[i][j] for i in some]) for j in (0, 1))
-                owner = np.repeat(np.arange(len(some)), [len(xs[i][0]) for i in some])
-                z, y = np.bincount(owner, self.weights[index] * value, len(some)), ys[some]
+            for some in np.array_split(rng.permutation(len(ys)), max(1, len(ys) // 64)):
+                index, value = (np.concatenate([kept[i][j] for i in some]) for j in (0, 1))
+                owner = np.repeat(np.arange(len(some)), [len(kept[i][0]) for i in some])
+                z, y, at = np.bincount(owner, weights[index] * value, len(some)), ys[some], np.arange(len(some))
                 upper = np.column_stack((np.ones(len(some)), self.tails(z)))  # P(y >= k)
                 lower = np.column_stack((upper[:, 1:], np.zeros(len(some))))
-                at = np.arange(len(some))
                 a, b = upper[at, y], lower[at, y]
-                mass = np.maximum(a - b, 1e-9)
+                mass, weight = np.maximum(a - b, 1e-9), balance[y] / len(some)
                 da, db = a * (1 - a) / mass, b * (1 - b) / mass  # slopes of log(a - b) by the logits of a and b
-                weight = balance[y] / len(some)
-                grad = np.bincount(index, ((da - db) * weight)[owner] * value, 1 << BITS)
-                touched = np.unique(index)
-                grad = grad[touched] - decay * self.weights[touched]
-                squares[touched] += grad * grad
-                self.weights[touched] += 0.3 * rate * grad / np.sqrt(squares[touched])
-                by = np.zeros(k)
-                np.add.at(by, y[y > 0] - 1, -(da * weight)[y > 0])
-                np.add.at(by, y[y < k], (db * weight)[y < k])
+                grad = np.bincount(index, ((da - db) * weight)[owner] * value, len(names))
+                squares += grad * grad
+                pace = rate / np.sqrt(squares)
+                weights += pace * grad
+                weights = np.sign(weights) * np.maximum(np.abs(weights) - pace * sparse, 0)
+                by = np.bincount(y[y > 0] - 1, -(da * weight)[y > 0], k) + np.bincount(y[y < k], (db * weight)[y < k], k)
                 step = np.concatenate(([by.sum()], [by[j + 1 :].sum() * np.exp(g) for j, g in enumerate(self.gaps)]))
                 own += step * step
-                step = 0.3 * rate * step / np.sqrt(own)
+                step = rate * step / np.sqrt(own)
                 self.first, self.gaps = self.first + step[0], np.clip(self.gaps + step[1:], -4, 4)
+        self.weights[names] = weights
         return self
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, langid, packing, pii, quality, secrets, simhash, url_reputation
+from . import ann, decontam, langid, packing, pii, quality, secrets, simhash, suffix_dedup, url_reputation
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_pii": pii.op2_pii,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_url_filter": url_reputation.op4_url_filter,
     "op5_quality": quality.op5_quality,
     "op6_simhash": simhash.op6_simhash,

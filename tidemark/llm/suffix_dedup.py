@@ -6,7 +6,7 @@ at again. Neighbours' common prefixes then part the suffixes into classes that s
 class's smallest document decides inside the shard. As only ``length`` bytes matter, refinement stops once they are
 covered, and prefixes are compared eight bytes at a time from there instead of one by one in text order.
 
-Between shards only strings that can be shared are exchanged. The anchor of a string is the smallest hash of its 16-byte
+Between shards only strings that can be shared are exchanged. The anchor of a string is the smallest hash of its 24-byte
 grams, so equal strings have equal anchors wherever they stand, and neighbouring strings mostly share theirs. A shard sends
 each anchor once with a hash of the run of strings that has it and the smallest document. An anchor whose runs are all
 alike is decided by that; where runs differ, their strings are exchanged one by one as pairs of 64-bit hashes. Each shard
@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import each_text, rows, stored, two_columns
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 #: Bytes of text in a shard; one longer text is a shard of its own.
 SHARD = 2 << 20
 LAST = (1 << 63) - 1
+#: Positions hashed at once, and anchors or strings merged in one group.
+STEP, MERGE = 1 << 15, 1 << 19
 
 
 def words8(data: np.ndarray) -> np.ndarray:
@@ -92,18 +94,24 @@ class Shard:
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """Anchor and hash of the string at each position (of no use where it isn't valid)."""
-        n, length = self.n, self.length
-        size = n + 56 - 8
-        gram = mix(mix(self.w[:size]) + self.w[8 : size + 8])
-        low, wide, span = gram, 1, length - GRAM + 1
+        anchor, code = np.zeros(self.n, np.uint64), np.zeros(self.n, np.uint64)
+        for at in range(0, self.n, STEP):  # small enough for the processor's cache
+            n = min(STEP, self.n - at)
+            anchor[at : at + n], code[at : at + n] = self.hashed(self.w[at : at + n + 56], n)
+        return anchor, code
+
+    def hashed(self, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        size, span = n + self.length - GRAM, self.length - GRAM + 1
+        low, wide = mix(w[:size] + w[8 : size + 8] * np.uint64(0x9E3779B97F4A7C15) + w[16 : size + 16] * np.uint64(0xC2B2AE3D27D4EB4F)), 1
+        low = mix(low)
         while wide * 2 <= span:
             low = np.minimum(low[:-wide], low[wide:])
             wide *= 2
         if span > wide:
             low = np.minimum(low[: len(low) - (span - wide)], low[span - wide :])
         code = np.zeros(n, np.uint64)
-        for at in [*range(0, length - 8, 8), length - 8]:
-            code = mix(code + self.w[at : at + n])
+        for k in [*range(0, self.length - 8, 8), self.length - 8]:
+            code = mix(code + w[k : k + n])
         return low[:n], code
 
     def runs(self, anchor, code):
@@ -152,7 +160,7 @@ def find(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.nd
     return sorted_keys[at] == wanted, at
 
 
-SHARDS = "shard long, doc_ids array<long>, lengths array<long>, data binary"
+SHARD_COLUMNS = ("shard", "doc_ids", "lengths", "data")
 
 
 def shards(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -178,39 +186,86 @@ def each_row(batches):
             yield b.slice(k, 1)
 
 
+PACKED = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("data", pa.binary())])
+
+
+def dealt(shard: int, table: np.ndarray, buckets: int):
+    """The shard's rows (anchor, code, doc), sorted by anchor, as one packed row for each bucket of anchors."""
+    bucket = ((table[:, 0].view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    table, bucket = table[order], bucket[order]
+    begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(table) else np.zeros(0, np.int64)
+    parts = np.split(table, begin[1:]) if len(begin) else []
+    return rows(PACKED, bucket[begin], [shard] * len(parts), [np.ascontiguousarray(p.T).tobytes() for p in parts])
+
+
+def unpacked(data: bytes, width: int = 3) -> np.ndarray:
+    return np.frombuffer(data, np.int64).reshape(width, -1)
+
+
+def merged(sent: DataFrame, strings: bool) -> DataFrame:
+    """For each shard and bucket the anchors (or strings) that other shards have too: (anchor, code, least), packed.
+
+    Anchors whose runs differ between shards come back with least -1 and are to be asked for string by string.
+    """
+
+    def merge(group: pa.Table) -> pa.Table:
+        shards_, packed = group.column("shard").to_numpy(), [unpacked(d) for d in group.column("data").to_pylist()]
+        shard = np.repeat(shards_, [p.shape[1] for p in packed])
+        anchor, code, doc = np.concatenate(packed, axis=1)
+        order = np.lexsort((code, anchor)) if strings else np.argsort(anchor, kind="stable")
+        shard, anchor, code, doc = shard[order], anchor[order], code[order], doc[order]
+        new = np.ones(len(anchor), bool)
+        new[1:] = anchor[1:] != anchor[:-1]
+        if strings:
+            new[1:] |= code[1:] != code[:-1]
+        begin = np.flatnonzero(new)
+        which = np.cumsum(new) - 1
+        several = np.minimum.reduceat(shard, begin) != np.maximum.reduceat(shard, begin)
+        least = np.minimum.reduceat(doc, begin)
+        differ = np.minimum.reduceat(code, begin) != np.maximum.reduceat(code, begin)
+        ask = differ[which] & (not strings)
+        told = several[which] & (ask | (least[which] < doc))
+        shard, out = shard[told], np.stack((anchor[told], code[told], np.where(ask, -1, least[which])[told]))
+        order = np.argsort(shard, kind="stable")
+        shard, out = shard[order], out[:, order]
+        begin = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else np.zeros(0, np.int64)
+        parts = np.split(out, begin[1:], axis=1) if len(begin) else []
+        return pa.table([pa.array(shard[begin], pa.int64()), pa.array([np.ascontiguousarray(p).tobytes() for p in parts], pa.binary())], ["shard", "data"])
+
+    return sent.groupBy("bucket").applyInArrow(merge, "shard long, data binary")
+
+
 def dedup(df: DataFrame, length: int = LENGTH, size: int = SHARD, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row and, ``with_text``, the spans and the bytes kept."""
     all_shards = shards(df, id_col, text_col, size)
-    four = pa.schema([("shard", pa.int64()), ("anchor", pa.int64()), ("code", pa.int64()), ("doc", pa.int64())])
-    kind = "shard long, anchor long, code long, doc long"
+    total = all_shards.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    buckets = 1 + total // 12 // MERGE
+    kind = "bucket long, shard long, data binary"
 
     def send_runs(batches):
         for b in each_row(batches):
             r = b.to_pylist()[0]
             s = opened(r, length)
-            a, c, doc = s.runs(*s.hashes())
-            yield rows(four, pa.array(np.full(len(a), r["shard"])), pa.array(a), pa.array(c), pa.array(doc))
+            yield dealt(r["shard"], np.stack(s.runs(*s.hashes()), axis=1), buckets)
 
-    sent = all_shards.mapInArrow(send_runs, kind)
-    by = sent.groupBy("anchor").agg(F.min("doc").alias("least"), F.min("code").alias("c0"), F.max("code").alias("c1"), F.min("shard").alias("s0"), F.max("shard").alias("s1"))
-    shared = stored(by.filter("s0 != s1").select("anchor", "least", (F.col("c0") != F.col("c1")).alias("differ")), "anchors")
-    asked = stored(sent.join(shared, "anchor").filter("differ or least < doc").groupBy("shard", "anchor").agg(F.first("differ").alias("differ"), F.first("least").alias("least")), "asked")
-    differing = asked.filter("differ").groupBy("shard").agg(F.collect_list("anchor").alias("anchors"))
+    anchors = stored(merged(all_shards.select(*SHARD_COLUMNS).mapInArrow(send_runs, kind), False).groupBy("shard").agg(F.collect_list("data").alias("anchors")), "anchors")
 
     def send_strings(batches):
         for b in each_row(batches):
             r = b.to_pylist()[0]
+            named = np.concatenate([unpacked(d) for d in r["anchors"]], axis=1)
+            asked = np.unique(named[0, named[2] < 0])
+            if not len(asked):
+                continue
             s = opened(r, length)
             anchor, code = s.hashes()
-            hit, _ = find(np.sort(np.array(r["anchors"], np.int64)), anchor.view(np.int64))
+            hit, _ = find(asked, anchor.view(np.int64))
             at = np.flatnonzero(hit & s.valid)
-            a, c, doc = distinct(anchor[at].view(np.int64), code[at].view(np.int64), s.doc[at])
-            yield rows(four, pa.array(np.full(len(a), r["shard"])), pa.array(a), pa.array(c), pa.array(doc))
+            yield dealt(r["shard"], np.stack(distinct(anchor[at].view(np.int64), code[at].view(np.int64), s.doc[at]), axis=1), buckets)
 
-    strings = stored(all_shards.join(differing, "shard").mapInArrow(send_strings, kind), "strings")
-    least = strings.groupBy("anchor", "code").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").drop("most")
-    told = strings.join(least, ["anchor", "code"]).filter("least < doc").groupBy("shard").agg(F.collect_list(F.struct("anchor", "code", "least")).alias("strings"))
-    plain = asked.filter("not differ").groupBy("shard").agg(F.collect_list(F.struct("anchor", "least")).alias("anchors"))
+    with_anchors = all_shards.join(anchors, "shard", "left")
+    told = merged(all_shards.join(anchors, "shard").mapInArrow(send_strings, kind), True).groupBy("shard").agg(F.collect_list("data").alias("strings"))
     out_schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + ([("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())] if with_text else []))
 
     def cut(batches):
@@ -220,15 +275,18 @@ def dedup(df: DataFrame, length: int = LENGTH, size: int = SHARD, id_col: str =
             anchor, code = (x.view(np.int64) for x in s.hashes())
             best = s.local()
             if r["anchors"]:
-                named = np.array(sorted((p["anchor"], p["least"]) for p in r["anchors"]), np.int64)
-                hit, at = find(named[:, 0], anchor)
-                best[hit] = np.minimum(best[hit], named[at[hit], 1])
+                named = np.concatenate([unpacked(d) for d in r["anchors"]], axis=1)
+                named = named[:, named[2] >= 0]
+                named = named[:, np.argsort(named[0], kind="stable")]
+                hit, at = find(named[0], anchor)
+                best[hit] = np.minimum(best[hit], named[2, at[hit]])
             if r["strings"]:
-                named = np.array([(p["code"], p["anchor"], p["least"]) for p in r["strings"]], np.int64)
-                named = named[np.lexsort((named[:, 1], named[:, 0]))]
-                hit, at = find(named[:, 0], code)
-                hit &= named[at, 1] == anchor
-                best[hit] = np.minimum(best[hit], named[at[hit], 2])
+                named = np.concatenate([unpacked(d) for d in r["strings"]], axis=1)
+                named = named[:, np.argsort(named[1], kind="stable")]
+                hit, at = find(named[1], code)
+                if len(at):
+                    hit &= named[0, at] == anchor if named.shape[1] else False
+                    best[hit] = np.minimum(best[hit], named[2, at[hit]])
             gone = np.flatnonzero(s.valid & (best < s.doc))
             edge = np.zeros(s.n + 1, np.int32)
             np.add.at(edge, gone, 1)
@@ -247,7 +305,7 @@ def dedup(df: DataFrame, length: int = LENGTH, size: int = SHARD, id_col: str =
             yield rows(out_schema, *columns)
 
     shown = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", spans array<array<long>>, kept binary" if with_text else "")
-    return all_shards.join(plain, "shard", "left").join(told, "shard", "left").mapInArrow(cut, shown)
+    return with_anchors.join(told, "shard", "left").mapInArrow(cut, shown)
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:

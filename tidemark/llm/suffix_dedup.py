@@ -52,7 +52,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def suffix_order(w: np.ndarray, n: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes that share ``depth`` bytes or more with another, sorted, and the rank of each at that depth."""
-    order = np.argsort(w[:n], kind="stable")
+    order = np.argsort(w[:n])
     rank = np.full(n + depth + 64, -1, np.int64)
     first = np.ones(n, bool)
     first[1:] = w[order[1:]] != w[order[:-1]]
@@ -67,7 +67,7 @@ def suffix_order(w: np.ndarray, n: int, depth: int) -> tuple[np.ndarray, np.ndar
         if not len(order):
             break
         nxt = rank[order + h]
-        again = np.lexsort((nxt, own))
+        again = np.argsort(own * (n + 1) + nxt + 1)  # fits: a shard has far fewer than 2^31 bytes
         order, own, nxt = order[again], own[again], nxt[again]
         first = np.ones(len(order), bool)
         first[1:] = (own[1:] != own[:-1]) | (nxt[1:] != nxt[:-1])
@@ -289,8 +289,8 @@ def dedup(df: DataFrame, length: int = LENGTH, size: int = SHARD, id_col: str =
                     best[hit] = np.minimum(best[hit], named[2, at[hit]])
             gone = np.flatnonzero(s.valid & (best < s.doc))
             edge = np.zeros(s.n + 1, np.int32)
-            np.add.at(edge, gone, 1)
-            np.add.at(edge, gone + length, -1)
+            edge[gone] += 1
+            edge[gone + length] -= 1
             removed = np.cumsum(edge[:-1]) > 0
             data = np.frombuffer(s.bytes, np.uint8)
             columns = [[] for _ in out_schema]

@@ -81,10 +81,10 @@ class Ordinal:
         return float(self.weights[index] @ value) if len(index) else 0.0
 
     def fit(self, xs: list[tuple[np.ndarray, np.ndarray]], ys: np.ndarray, shared: int = SHARED, epochs: int = 40, rate: float = 0.3, sparse: float = 1e-3, seed: int = 5) -> Ordinal:
-        """Adaptive proximal gradient ascent on the balanced likelihood less ``sparse`` times the weights' sizes, over the features that ``shared`` rows have at least."""
+        """Adaptive proximal gradient ascent on a likelihood balanced by the roots of the grades' shares, less ``sparse`` times the weights' sizes, over the features that ``shared`` rows have at least."""
         rng, k = np.random.default_rng(seed), len(self.gaps) + 1
         share = np.bincount(ys, minlength=k + 1)
-        balance = np.where(share > 0, len(ys) / (np.maximum(share, 1) * max(1, (share > 0).sum())), 0)
+        balance = np.where(share > 0, np.sqrt(len(ys) / (np.maximum(share, 1) * max(1, (share > 0).sum()))), 0)
         seen, rows_with = np.unique(np.concatenate([x[0] for x in xs]), return_counts=True)
         names = seen[rows_with >= shared]
         kept = []

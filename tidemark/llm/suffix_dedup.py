@@ -23,6 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -169,7 +170,7 @@ def shards(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     def run(batches):
         for ids, texts in each_text(batches, size):
             raw = [t.encode("utf-8", "replace") if t else b"" for t in texts]
-            yield rows(schema, [ids], [[len(r) for r in raw]], [b"".join(raw)])
+            yield rows(schema, [ids], [[len(r) for r in raw]], [zstandard.compress(b"".join(raw), 3)])
 
     packed = two_columns(df, id_col, text_col).mapInArrow(run, "doc_ids array<long>, lengths array<long>, data binary")
     return stored(packed.select(F.monotonically_increasing_id().alias("shard"), "*"), "shards")
@@ -177,7 +178,8 @@ def shards(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
 
 def opened(r: dict, length: int) -> Shard:
     ends = np.cumsum([0, *r["lengths"]]).tolist()
-    return Shard(r["doc_ids"], [r["data"][a:b] for a, b in zip(ends, ends[1:])], length)
+    data = zstandard.decompress(r["data"]) if ends[-1] else b""
+    return Shard(r["doc_ids"], [data[a:b] for a, b in zip(ends, ends[1:])], length)
 
 
 def each_row(batches):
@@ -278,15 +280,21 @@ def dedup(df: DataFrame, length: int = LENGTH, size: int = SHARD, id_col: str =
                 named = np.concatenate([unpacked(d) for d in r["anchors"]], axis=1)
                 named = named[:, named[2] >= 0]
                 named = named[:, np.argsort(named[0], kind="stable")]
-                hit, at = find(named[0], anchor)
-                best[hit] = np.minimum(best[hit], named[2, at[hit]])
+                new = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))  # neighbours mostly share theirs
+                hit, at = find(named[0], anchor[new])
+                told = np.full(len(new), LAST)
+                told[hit] = named[2, at[hit]]
+                best = np.minimum(best, np.repeat(told, np.diff(np.append(new, s.n))))
             if r["strings"]:
                 named = np.concatenate([unpacked(d) for d in r["strings"]], axis=1)
                 named = named[:, np.argsort(named[1], kind="stable")]
-                hit, at = find(named[1], code)
-                if len(at):
-                    hit &= named[0, at] == anchor if named.shape[1] else False
-                    best[hit] = np.minimum(best[hit], named[2, at[hit]])
+                asked = np.unique(named[0])
+                new = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+                own, _ = find(asked, anchor[new])
+                p = np.flatnonzero(np.repeat(own, np.diff(np.append(new, s.n))))
+                hit, at = find(named[1], code[p])
+                hit &= named[0, at] == anchor[p]
+                best[p[hit]] = np.minimum(best[p[hit]], named[2, at[hit]])
             gone = np.flatnonzero(s.valid & (best < s.doc))
             edge = np.zeros(s.n + 1, np.int32)
             edge[gone] += 1

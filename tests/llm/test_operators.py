@@ -46,6 +46,19 @@ def test_packing_round_trip(spark):
     assert sum(0 if n & (n - 1) == 0 else 2048 - n for n in sizes) <= 2 * 2048
 
 
+PLAIN = packing.word_bpe()
+REMEMBERING = [packing.encoder.__wrapped__(None, held) for held in (packing.HELD, 0)]
+PARTS = st.sampled_from(["a", "Straße", "ΟΔΟΣ", "İ", "e\u0301", "\u0301", "\u1100\u1161", "don't", "x'S", "3²", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x0b", "\x85", "\u00a0", "\u2028", "\u3000", "<|endoftext|>", "<|startoftext|>", "...", "\U0001f600", "中文", "\0"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.one_of(PARTS, st.text(max_size=3)), max_size=20).map("".join), max_size=4))
+def test_remembered_words_give_the_tokens_of_whole_texts(texts):
+    plain = PLAIN(texts)
+    for encode in REMEMBERING:
+        assert [np.frombuffer(b, "<u4").tolist() for b in encode(texts)] == plain
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 20), max_size=12))
 def test_plan_places_every_piece_once(histogram):

@@ -15,9 +15,11 @@ gives no pieces; a null doc_id stays null.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ SIZE = 2048
 END = 1
 #: Bytes of text that are tokenized at once; the library keeps about a hundred bytes for each of their tokens.
 AT_ONCE = 1 << 20
+#: Tokens of words that a worker remembers; beyond that it starts anew.
+HELD = 1 << 18
 
 
 def word_bpe(path: str | None = None) -> Callable[[list[str]], list[list[int]]]:
@@ -38,12 +42,55 @@ def word_bpe(path: str | None = None) -> Callable[[list[str]], list[list[int]]]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
+    tok = Tokenizer.from_file(vocabulary(path))
+    return lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def vocabulary(path: str | None = None) -> str:
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    tok = Tokenizer.from_file(path)
-    return lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    return path
+
+
+def ends_at_blanks(path: str) -> bool:
+    """Whether no token of this vocabulary spans a blank and none depends on what stands beyond one: a splitting that drops
+    all white space comes first, and what normalizes before it leaves blanks where they are."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    before = (spec.get("normalizer") or {}).get("normalizers") or []
+    # fixed values of the vocabulary file
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    first = {"type": "Split", "pattern": {"Regex": pattern}, "behavior": "Removed", "invert": True}
+    plain = all(n["type"] in ("NFC", "Lowercase") or n == {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "} for n in before)
+    own = all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] and not set(" \t\n\r") & set(t["content"]) for t in spec.get("added_tokens") or [])
+    return steps[0] == first and plain and own and not spec.get("truncation") and not spec.get("padding")
+
+
+@lru_cache(1)  # a worker keeps what it knows from task to task
+def encoder(path: str | None = None, held: int = HELD) -> Callable[[list[str]], list[bytes]]:
+    """Little-endian token ids of texts: a word between blanks is encoded once and remembered, where the vocabulary allows."""
+    encode = word_bpe(path)
+    if not ends_at_blanks(vocabulary(path)):
+        return lambda texts: [np.array(ids, "<u4").tobytes() for ids in encode(texts)]
+    known: dict[str, bytes] = {}
+    tokens = 0
+
+    def run(texts: list[str]) -> list[bytes]:
+        nonlocal tokens
+        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        if tokens > held:
+            known.clear()
+            tokens = 0
+        new = list(set().union(*words) - known.keys())
+        for word, ids in zip(new, encode(new) if new else (), strict=True):
+            known[word] = np.array(ids, "<u4").tobytes()
+            tokens += 1 + len(ids)
+        return [b"".join([known[w] for w in own]) for own in words]
+
+    return run
 
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, rank long"
@@ -55,17 +102,17 @@ def pieces(df: DataFrame, size: int = SIZE, path: str | None = None, with_ids: b
     schema = pa.schema(fields + ([("ids", pa.list_(pa.int32()))] if with_ids else []))
 
     def run(batches):
-        encode, part, seen = word_bpe(path), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+        encode, part, seen = encoder(path), TaskContext.get().partitionId(), [0] * (size + 1)
         for docs, texts in each_text(batches, AT_ONCE):
             out = [[] for _ in schema]
             for doc, ids in zip(docs, encode([t or "" for t in texts]), strict=True):
-                packed = np.array([*ids, END], "<u4")
-                for at in range(0, len(packed), size):
-                    cut = packed[at : at + size]
-                    n = len(cut)
-                    row = (doc, at, n, zlib.crc32(cut.tobytes()), len(packed), part, int(seen[n]))
+                packed = ids + END.to_bytes(4, "little")
+                for at in range(0, len(packed), 4 * size):
+                    cut = packed[at : at + 4 * size]
+                    n = len(cut) // 4
+                    row = (doc, at // 4, n, zlib.crc32(cut), len(packed) // 4, part, seen[n])
                     seen[n] += 1
-                    for column, value in zip(out, (*row, cut.tolist()) if with_ids else row, strict=True):
+                    for column, value in zip(out, (*row, np.frombuffer(cut, "<i4")) if with_ids else row, strict=True):
                         column.append(value)
             yield rows(schema, *out)
 

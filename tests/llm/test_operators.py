@@ -48,7 +48,7 @@ def test_packing_round_trip(spark):
 
 PLAIN = packing.word_bpe()
 REMEMBERING = [packing.encoder.__wrapped__(None, held) for held in (packing.HELD, 0)]
-PARTS = st.sampled_from(["a", "Straße", "ΟΔΟΣ", "İ", "e\u0301", "\u0301", "\u1100\u1161", "don't", "x'S", "3²", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x0b", "\x85", "\u00a0", "\u2028", "\u3000", "<|endoftext|>", "<|startoftext|>", "...", "\U0001f600", "中文", "\0"])
+PARTS = st.sampled_from(["a", "|", "a|", "||", "Straße", "ΟΔΟΣ", "İ", "e\u0301", "\u0301", "\u1100\u1161", "don't", "x'S", "3²", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x0b", "\x85", "\u00a0", "\u2028", "\u3000", "<|endoftext|>", "<|startoftext|>", "...", "\U0001f600", "中文", "\0"])
 
 
 @settings(max_examples=300, deadline=None)

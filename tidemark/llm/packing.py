@@ -33,8 +33,9 @@ SIZE = 2048
 END = 1
 #: Bytes of text that are tokenized at once; the library keeps about a hundred bytes for each of their tokens.
 AT_ONCE = 1 << 20
-#: Tokens of words that a worker remembers; beyond that it starts anew.
-HELD = 1 << 18
+#: Tokens of words that a worker remembers in each of two halves; the older half goes when the newer is full.
+HELD = 1 << 19
+MARK = "|"
 
 
 def word_bpe(path: str | None = None) -> Callable[[list[str]], list[list[int]]]:
@@ -76,19 +77,32 @@ def encoder(path: str | None = None, held: int = HELD) -> Callable[[list[str]],
     if not ends_at_blanks(vocabulary(path)):
         return lambda texts: [np.array(ids, "<u4").tobytes() for ids in encode(texts)]
     known: dict[str, bytes] = {}
-    tokens = 0
+    old: dict[str, bytes] = {}
+    tokens, (bar,) = 0, encode([MARK])[0]
 
     def run(texts: list[str]) -> list[bytes]:
-        nonlocal tokens
+        nonlocal tokens, known, old
         words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if tokens > held:
-            known.clear()
-            tokens = 0
-        new = list(set().union(*words) - known.keys())
-        for word, ids in zip(new, encode(new) if new else (), strict=True):
+        if tokens > held:  # words that come again move on from the older half
+            known, old, tokens = {}, known, 0
+        new = set().union(*words) - known.keys()
+        again = new & old.keys()
+        known.update((w, old[w]) for w in again)
+        new -= again
+        own = [w for w in new if MARK in w]
+        rest = list(new.difference(own))
+        for word, ids in zip(own, encode(own) if own else (), strict=True):
             known[word] = np.array(ids, "<u4").tobytes()
-            tokens += 1 + len(ids)
-        return [b"".join([known[w] for w in own]) for own in words]
+        if rest:  # one text for all of them: the mark is one token that no word without it has
+            ids = np.array(encode([f" {MARK} ".join(rest)])[0], "<u4")
+            ends = [*(4 * np.flatnonzero(ids == bar)).tolist(), 4 * len(ids)]
+            data, at = ids.tobytes(), 0
+            for word, end in zip(rest, ends, strict=True):
+                known[word] = data[at:end]
+                at = end + 4
+            tokens += len(ids)
+        tokens += len(again) + len(own)
+        return [b"".join([known[w] for w in line]) for line in words]
 
     return run
 

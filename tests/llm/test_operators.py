@@ -167,3 +167,37 @@ def test_pipeline_stages(spark):
         sizes.append(docs.count())
         assert name == "pack" or docs.columns == columns
     assert sizes[0] > sizes[1] > sizes[2] > sizes[3] == sizes[4]
+
+
+def brute_components(sets):
+    """The smallest id that links of Jaccard >= 0.8 between sets reach, by comparing all pairs."""
+    top = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((top[a], top[b]))
+                top = {d: low if t == high else t for d, t in top.items()}
+    return top
+
+
+def plain_shingles(text, k=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
+def test_pipeline_drops_near_copies_as_brute_force(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(500)]
+    base, passage = [[rng.choice(words) for _ in range(120)] for _ in range(15)], [rng.choice(words) for _ in range(60)]
+    rows = []
+    for k in range(150):  # one text has 60 copies, so that bands are crowded; some copies lie just under the limit
+        own = list(base[0] if k < 60 else base[k % 15])
+        for _ in range(k % 5):
+            own[rng.randrange(120)] = f"n{k}"
+        rows.append((1000 - k, " ".join(own), 0))
+    rows += [(2000 + k, " ".join(passage + [rng.choice(words) for _ in range(20)]), 0) for k in range(40)]
+    rows += [(3000, None, 0), (3001, "", 0), (3002, "A short one", 0), (3003, "a  short ONE", 0)]
+    want = {d for d, t in brute_components({d: plain_shingles(t) for d, t, _ in rows}).items() if d == t}
+    got = [r["doc_id"] for r in pipeline.near_duplicates(spark, docs(spark, rows), SF).collect()]
+    assert 50 < len(want) < 150 and sorted(got) == sorted(want)

@@ -169,7 +169,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def drop_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """The rows of docs, all columns, whose doc_id is the smallest of its component; of repeated rows one."""
-    found = near_duplicates(docs, shingle=shingle)
+    return first_of_each(docs, near_duplicates(docs, shingle=shingle))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is the component_id that ``found`` gives it; of repeated rows one."""
     gone = found.filter("doc_id != component_id").select("doc_id").distinct()
     again = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

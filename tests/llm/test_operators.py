@@ -201,3 +201,11 @@ def test_pipeline_drops_near_copies_as_brute_force(spark):
     want = {d for d, t in brute_components({d: plain_shingles(t) for d, t, _ in rows}).items() if d == t}
     got = [r["doc_id"] for r in pipeline.near_duplicates(spark, docs(spark, rows), SF).collect()]
     assert 50 < len(want) < 150 and sorted(got) == sorted(want)
+
+
+def test_pipeline_drops_long_documents_with_a_benchmark_window(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"].split()
+    rest = [f"w{k}" for k in range(3000)]
+    rows = [(1, " ".join(rest + item[:13] + rest), 0), (2, " ".join(rest + item[:12] + rest), 0), (3, " ".join(item), 0), (None, " ".join(item), 0)]
+    assert [r["doc_id"] for r in pipeline.decontaminate(spark, docs(spark, rows), SF).orderBy("doc_id").collect()] == [None, 2]

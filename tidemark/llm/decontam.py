@@ -217,8 +217,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, least
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that are not contaminated; rows without a doc_id stay."""
-    gone = contamination(docs, items).filter("contaminated").select("doc_id").distinct()
+    """The rows of docs, all columns, that hold no window of a test item, whatever their length; rows without a doc_id stay."""
+    gone = contamination(docs, items).filter("n_hit > 0").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -209,3 +210,24 @@ def test_pipeline_drops_long_documents_with_a_benchmark_window(spark):
     rest = [f"w{k}" for k in range(3000)]
     rows = [(1, " ".join(rest + item[:13] + rest), 0), (2, " ".join(rest + item[:12] + rest), 0), (3, " ".join(item), 0), (None, " ".join(item), 0)]
     assert [r["doc_id"] for r in pipeline.decontaminate(spark, docs(spark, rows), SF).orderBy("doc_id").collect()] == [None, 2]
+
+
+@pytest.mark.parametrize("copies", [8000])
+def test_nearest_recall_on_several_slices(spark, copies):
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(60, 64))[rng.integers(0, 60, 24_000)] + 0.6 * rng.normal(size=(24_000, 64))
+    v[rng.permutation(24_000)[:copies]] = v[0]
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    table = spark.createDataFrame(pa.table({"vec_id": np.arange(24_000), "embedding": list(v)})).coalesce(2)
+    index, model = ann.build(ann.usable(table))
+    got = ann.search(index, model, index.filter("vec_id % 400 = 0").select("vec_id", "embedding")).toPandas()
+    found, ids = [], np.arange(24_000)
+    for q in ids[::400]:
+        s = np.einsum("nd,d->n", v, v[q])
+        order = [k for k in np.lexsort((ids, -s)) if k != q][:20]
+        own = got[got.query_id == q].sort_values("rank").vec_id.tolist()
+        found.append(len(set(order) & set(own)) / 20)
+        if copies and (v[q] == v[0]).all():
+            assert own == order
+    print(f"recall {np.mean(found):.4f} with {copies} copies, least {min(found)}")
+    assert np.mean(found) >= 0.9

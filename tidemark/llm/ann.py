@@ -3,7 +3,8 @@
 A vector is approximated by the sum of one full-dimensional codeword from each of several codebooks. Codebooks are learned
 on residuals of a bounded sample (k-means), codes are found by beam search over all codebooks. A query scores codes by
 lookup tables (one inner product per codeword, summed per vector; with the stored norms for distances), and the best of
-each partition are ranked again by exact inner products of the original vectors, which lie in the same row.
+each partition, with all rows that tie with the last of them (copies have equal codes), are ranked again by exact inner
+products of the original vectors, which lie in the same row.
 
 The stored index holds every vector. Queries are searched in blocks of bounded size, broadcast one at a time; a partition
 gives at most ``k`` rows for a query, so the final ranking shuffles little and no group grows with the data.
@@ -24,7 +25,7 @@ from .common import rows, stored
 BOOKS, WORDS, BEAM = 8, 64, 4
 #: Vectors that codebooks are learned from, and queries in a block.
 SAMPLE, BLOCK = 4096, 2048
-#: Candidates of a partition that are ranked again, for each neighbour wanted.
+#: Candidates of a partition that are ranked again, for each neighbour wanted; rows that tie with the last come on top.
 AGAIN = 30
 INDEX = "vec_id long, codes binary, norm double, embedding array<double>"
 
@@ -137,10 +138,10 @@ def search(index: DataFrame, model: Additive, queries: DataFrame, k: int = 20, a
                         approx = model.scores(q[q0 : q0 + 64], codes)
                         approx[qid[q0 : q0 + 64, None] == ids] = -np.inf
                         take = min(k * again, len(ids))
-                        top = np.argpartition(-approx, take - 1, axis=1)[:, :take]
-                        for i, chosen in enumerate(top):
-                            chosen = chosen[ids[chosen] != qid[q0 + i]]
-                            exact = vectors[chosen] @ q[q0 + i]
+                        cut = np.partition(approx, len(ids) - take, axis=1)[:, len(ids) - take]
+                        for i, own in enumerate(approx):
+                            chosen = np.flatnonzero((own >= cut[i]) & (ids != qid[q0 + i]))
+                            exact = np.einsum("nd,d->n", vectors[chosen], q[q0 + i])  # equal for equal vectors, unlike a product of matrices
                             order = np.lexsort((ids[chosen], -exact))[: k + 8]
                             mine = best[q0 + i] + [(-float(vectors[c] @ q[q0 + i]), int(ids[c])) for c in chosen[order]]
                             best[q0 + i] = sorted(mine)[:k]

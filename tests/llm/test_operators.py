@@ -1,3 +1,4 @@
+import base64
 import random
 import zlib
 from collections import defaultdict
@@ -231,3 +232,15 @@ def test_nearest_recall_on_several_slices(spark, copies):
             assert own == order
     print(f"recall {np.mean(found):.4f} with {copies} copies, least {min(found)}")
     assert np.mean(found) >= 0.9
+
+
+def test_secrets_glued_to_other_characters():
+    part = lambda x: base64.urlsafe_b64encode(x).rstrip(b"=").decode()
+    token = f'{part(b'{"alg":"HS256"}')}.{part(b'{"sub":"someone"}')}.{part(bytes(range(32)))}'
+    key = base64.b64encode(b"\x30\x82\x01\x04\x02\x82\x01\x00" + bytes(range(1, 256)) + b"\x07").decode()
+    lines = "\\n".join(key[i : i + 64] for i in range(0, len(key), 64))
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\\n{lines}\\n-----END RSA PRIVATE KEY-----"
+    for text, kind, want in [(f"see https://a.test/reset/{token} now", "signed", token), (f"use {token}.Then go", "signed", token), (f"x/{key} y", "der", key), (f'{{"key": "{pem}"}}', "pem", pem)]:
+        at = text.index(want)
+        assert (kind, at, at + len(want), False, 1.0) in secrets.spans_of(text), text
+    assert not [s for s in secrets.spans_of("https://a.test/one/two/three/eyJust/words.and.more.of/MIIthem") if not s[3]]

@@ -29,7 +29,9 @@ RUN = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+=*+(?:\.[A-Za-z0-9_
 #: What maps a byte of a run to x, so that a long run is found by a plain search.
 MARK = bytes(120 if chr(c) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-" else 32 for c in range(256))
 HEXMARK = bytes(120 if chr(c) in "0123456789abcdef" else 32 for c in range(256))
-PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]{0,40}+)-----([A-Za-z0-9+/=\s]{16,}+)-----END \1-----")
+PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]{0,40}+)-----((?:[A-Za-z0-9+/=\s]|\\[nr]){16,}+)-----END \1-----")
+#: Where a structure may begin within a run that is glued to something else.
+INNER = re.compile(rb"(?<=/)|(?=eyJ|MII)")
 MAGIC = b"openssh-key-v1\0"
 SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-")
 
@@ -123,6 +125,30 @@ def structure(run: bytes, depth: int = 2) -> str | None:
     return None
 
 
+def likely(run: bytes, at: int) -> bool:
+    """Whether the bytes at ``at`` can open a structure; spares decoding each rest of a long run."""
+    head = run[at : at + 24].split(b".")[0]
+    data = base64_bytes(head[: len(head) // 4 * 4]) or b""
+    return len(run) - at >= 16 and (data[:1] == b"0" or data[:3] == b"\0\0\0" or data.isascii() or re.fullmatch(rb"[0-9a-fA-F]{8,}", head) is not None)
+
+
+def structures(run: bytes) -> list[tuple[str, int, int]]:
+    """Kind, start and end of what a run holds: the whole run, or structures that begin or end within it."""
+    if kind := structure(run):
+        return [(kind, 0, len(run))]
+    out, end = [], 0
+    for at in [0, *(m.start() for m in INNER.finditer(run))]:
+        if at < end or not likely(run, at):
+            continue
+        parts = run[at:].split(b".", 3)
+        for some in dict.fromkeys((b".".join(parts[:3]), parts[0])):
+            if some != run and len(some) >= 16 and (kind := structure(some)):
+                end = at + len(some)
+                out.append((kind, at, end))
+                break
+    return out
+
+
 def spans_of(text: str) -> list[tuple]:
     """(kind, start, end, base, score) by start, then kind in the order of KINDS."""
     raw = text.encode("ascii", "replace")  # one byte for each code point; '?' is in no pattern
@@ -135,10 +161,10 @@ def spans_of(text: str) -> list[tuple]:
     if b"x" * 32 in raw.translate(HEXMARK):
         out += [("hex", m.start(), m.end(), True, 1.0) for m in HEX.finditer(raw)]
     if b"x" * 16 in raw.translate(MARK):
-        out += [(kind, m.start(), m.end(), False, 1.0) for m in RUN.finditer(raw) if (kind := structure(m[0]))]
+        out += [(kind, m.start() + s, m.start() + e, False, 1.0) for m in RUN.finditer(raw) for kind, s, e in structures(m[0])]
     if b"-----BEGIN " in raw:
         for m in PEM.finditer(raw):
-            data = base64_bytes(re.sub(rb"\s", b"", m[2]))
+            data = base64_bytes(re.sub(rb"\\[nr]|\s", b"", m[2]))
             if data and (key_der(data) or key_ssh(data)):
                 out.append(("pem", m.start(), m.end(), False, 1.0))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))

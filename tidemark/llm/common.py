@@ -5,18 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a local session gets a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if (own := spark.sparkContext.getCheckpointDir()) is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         own = spark.sparkContext.getCheckpointDir()
     return own
@@ -24,19 +29,50 @@ def shared_dir(spark: SparkSession) -> str:
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of a small table through the shared folder; Spark's cleaner removes it."""
-    shared_dir(df.sparkSession)
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
         df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, n: int):
+    """Rows that go to Python at once, for what runs inside: few where a row is megabytes."""
+    before = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, n)
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH) if before is None else spark.conf.set(BATCH, before)
+
+
+def _path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back: column pruning, compression, no lineage."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = _path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """A stored table dealt into buckets by a key: joins on the key don't shuffle it again."""
+    table = f"tidemark_{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").option("path", _path(df.sparkSession, name)).bucketBy(min(buckets, 100_000), key).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete stored tables that nothing will read again."""
+    jvm = spark.sparkContext._jvm
+    root = f"{shared_dir(spark).rstrip('/')}/tidemark/"
+    for f in {f for t in tables for f in t.inputFiles()}:
+        folder = jvm.org.apache.hadoop.fs.Path(f).getParent()
+        if "/tidemark/" in folder.toString() and root.split("://")[-1].rstrip("/").split("//")[-1] in folder.toString():
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under fixed names, so that no other column of the input can clash."""
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))

@@ -1,20 +1,29 @@
 """Exact substring dedup with per-shard suffix arrays.
 
-Documents are dealt into shards of bounded size. A shard sorts its suffixes by refinement of ranks after Larsson and
-Sadakane: groups equal in their first h bytes are split by the rank h bytes on, and only groups of two and more are looked
-at again. Neighbours' common prefixes then part the suffixes into classes that share their first ``length`` bytes; the
-class's smallest document decides inside the shard. As only ``length`` bytes matter, refinement stops once they are
-covered, and prefixes are compared eight bytes at a time from there instead of one by one in text order.
+Texts are laid one after another into units of bounded size, the rows of a stored table. A unit is cut into shards of
+``shard`` positions, wherever documents begin, so a text of any length is sorted in bounded pieces. A shard sorts its
+suffixes by refinement of ranks after Larsson and Sadakane: groups equal in their first h bytes are split by the rank h
+bytes on, and only groups of two and more are looked at again. Common prefixes with the suffix before come from Kasai's
+walk in text order, many lanes at once; they part the suffixes into classes that share their first ``length`` bytes, and
+the class's smallest document decides inside the shard. As only ``length`` bytes matter, refinement stops once they are
+covered.
 
 Between shards only strings that can be shared are exchanged. The anchor of a string is the smallest hash of its 24-byte
-grams, so equal strings have equal anchors wherever they stand, and neighbouring strings mostly share theirs. A shard sends
-each anchor once with a hash of the run of strings that has it and the smallest document. An anchor whose runs are all
-alike is decided by that; where runs differ, their strings are exchanged one by one as pairs of 64-bit hashes. Each shard
-merges what comes back into its own by binary search. Anchors are pre-aggregated by shard, so a passage that very many
-documents share costs one row for each shard.
+grams, so equal strings have equal anchors wherever they stand, and neighbouring strings mostly share theirs.
+
+1. A unit tells which anchors it has, four bytes each, and learns which of them others have too.
+2. For those it tells a hash of the bytes of the run of strings with that anchor and the smallest document; an anchor whose
+   runs are alike everywhere is decided by that.
+3. For anchors whose runs differ it tells the strings one by one, four bytes each, and learns which are shared.
+4. For those it tells two hashes of 64 bits and the smallest document.
+
+Shards merge what comes back into their own strings by binary search. A unit sends each key once, so a passage that very
+many documents share costs one row for each unit, and strings are dealt by their own hash, not by their anchor's. The
+stored table is bucketed by unit, so texts are not shuffled again.
 
 Defined cases: null and empty texts have no bytes; a string must stand in a document with a smaller doc_id, so rows that
-repeat a doc_id don't remove each other's bytes; a null doc_id counts as the greatest.
+repeat a doc_id don't remove each other's bytes; a null doc_id counts as the greatest; an empty table gives no rows; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,38 +36,43 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_text, rows, stored, two_columns
+from .common import batches_of, bucketed, each_text, rows, stored, two_columns
 
 LENGTH, GRAM = 50, 24
-#: Bytes of text in a shard; one longer text is a shard of its own.
-SHARD = 2 << 20
+#: Bytes of text in a unit (one longer text is a unit of its own) and positions in a shard.
+UNIT, SHARD = 8 << 20, 1 << 20
 LAST = (1 << 63) - 1
-#: Positions hashed at once, and anchors or strings merged in one group.
-STEP, MERGE = 1 << 15, 1 << 19
-
-
-def words8(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position on as one big-endian number; data has 64 more bytes than positions."""
-    n = len(data) - 64
-    out = np.zeros(n + 56, np.uint64)
+#: Stands for the smallest document where a unit's runs differ.
+MIXED = -(1 << 63)
+#: Positions hashed at once, keys merged in one group, and lanes' length in Kasai's walk.
+STEP, MERGE, LANE = 1 << 15, 1 << 19, 64
+#: Kinds of notes that a unit gets back.
+ANCHORS, RUNS, STRINGS, LEAST = range(4)
+C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
+
+
+def words8(data: bytes, at: int, n: int) -> np.ndarray:
+    """The eight bytes from each of ``n`` positions on as one big-endian number."""
+    out = np.empty((n + 7) // 8 * 8, np.uint64)
     for k in range(8):
-        out |= data[k : n + 56 + k].astype(np.uint64) << np.uint64(56 - 8 * k)
-    return out
+        out[k::8] = np.frombuffer(data, ">u8", len(out) // 8, at + k)
+    return out[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ x >> np.uint64(32)) * C3
     return x ^ x >> np.uint64(29)
 
 
 def suffix_order(w: np.ndarray, n: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes that share ``depth`` bytes or more with another, sorted, and the rank of each at that depth."""
-    order = np.argsort(w[:n])
-    rank = np.full(n + depth + 64, -1, np.int64)
+    """Suffixes that share half of ``depth`` bytes or more with another, sorted, and the rank of each at that depth."""
+    order = np.argsort(w[:n]).astype(np.int32)
+    rank = np.full(n + depth + 64, -1, np.int32)
     first = np.ones(n, bool)
-    first[1:] = w[order[1:]] != w[order[:-1]]
-    head = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    rank[order] = head
+    key = w[order]
+    first[1:] = key[1:] != key[:-1]
+    del key
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n, dtype=np.int32), np.int32(0)))
     h = 8
     while h < depth:
         last = np.ones(len(order), bool)
@@ -67,90 +81,169 @@ def suffix_order(w: np.ndarray, n: int, depth: int) -> tuple[np.ndarray, np.ndar
         order, own = order[many], rank[order[many]]
         if not len(order):
             break
+        again = np.argsort(own.astype(np.int64) << np.int64(32) | rank[order + h] + np.int64(1))
+        order, own = order[again], own[again]
         nxt = rank[order + h]
-        again = np.argsort(own * (n + 1) + nxt + 1)  # fits: a shard has far fewer than 2^31 bytes
-        order, own, nxt = order[again], own[again], nxt[again]
         first = np.ones(len(order), bool)
-        first[1:] = (own[1:] != own[:-1]) | (nxt[1:] != nxt[:-1])
         start = np.ones(len(order), bool)
         start[1:] = own[1:] != own[:-1]
-        at = np.arange(len(order))
+        first[1:] = start[1:] | (nxt[1:] != nxt[:-1])
+        at = np.arange(len(order), dtype=np.int32)
         rank[order] = own + np.maximum.accumulate(np.where(first, at, 0)) - np.maximum.accumulate(np.where(start, at, 0))
         h *= 2
     return order, rank[order]
 
 
+BYTES = np.array([1 << 8 * k for k in range(8)], np.uint64)
+
+
+def kasai(w: np.ndarray, n: int, order: np.ndarray, rank: np.ndarray, depth: int) -> np.ndarray:
+    """For each sorted suffix the bytes it shares with the one before, ``depth`` at most.
+
+    A suffix shares at least what the one before it in the text shares, less one byte, so the walk starts from there. That
+    holds where both are sorted, that is while half of ``depth`` is left, away from the end and not for suffixes that equal
+    each other over the whole depth; there it starts from nothing. Lanes of the text walk at the same time.
+    """
+    before, tie = np.full(n, -1, np.int32), np.zeros(n, bool)
+    before[order[1:]], tie[order[1:]] = order[:-1], rank[1:] == rank[:-1]
+    shared = np.where(tie, np.uint8(depth), np.uint8(0))
+    for step in range(min(LANE, n)):
+        i = np.arange(step, n, LANE)
+        j = before[i].astype(np.int64)
+        live = np.flatnonzero((j >= 0) & ~tie[i])
+        i, j = i[live], j[live]
+        h = np.zeros(len(i), np.int64)
+        if step:
+            had, other = shared[i - 1], before[i - 1]
+            safe = (had < depth) & (had > depth // 2) & (np.maximum(i, other) < n - 2 * depth)
+            h[safe] = had[safe] - 1
+        live = np.arange(len(i))
+        while len(live):
+            x = w[i[live] + h[live]] ^ w[j[live] + h[live]]
+            h[live] += 8 - np.searchsorted(BYTES, x, side="right")
+            live = live[(x == 0) & (h[live] < depth)]
+        shared[i] = np.minimum(h, depth)
+    return shared[order]
+
+
+class Unit:
+    """Texts laid one after another, and their documents."""
+
+    def __init__(self, ids: list, raw: list[bytes], length: int = LENGTH, shard: int = SHARD):
+        self.ids, self.length, self.shard = ids, length, shard
+        self.starts = np.cumsum([0, *map(len, raw)])
+        self.bytes, self.n = b"".join(raw), int(self.starts[-1])
+        self.padded = self.bytes + b"\xff" * (4 * length + 256)
+        self.doc = np.array([LAST if i is None else i for i in ids], np.int64)
+
+    @classmethod
+    def of(cls, r: dict, length: int, shard: int) -> Unit:
+        ends = np.cumsum([0, *r["lengths"]]).tolist()
+        data = zstandard.decompress(r["data"]) if ends[-1] else b""
+        return cls(r["doc_ids"], [data[a:b] for a, b in zip(ends, ends[1:])], length, shard)
+
+    def shards(self):
+        for at in range(0, self.n, self.shard):
+            yield Shard(self, at, min(self.shard, self.n - at))
+
+
 class Shard:
-    def __init__(self, ids: list, raw: list[bytes], length: int):
-        self.ids, self.length = ids, length
-        self.sizes = np.array([len(r) for r in raw], np.int64)
-        self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
-        self.bytes = b"".join(raw)
-        self.n = len(self.bytes)
-        self.w = words8(np.frombuffer(self.bytes + b"\xff" * 64, np.uint8))
-        own = np.array([LAST if i is None else i for i in ids], np.int64)
-        owner = np.repeat(np.arange(len(ids)), self.sizes)
-        self.doc = own[owner]
-        self.valid = np.arange(self.n) + length <= self.starts[1:][owner]
-
-    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Anchor and hash of the string at each position (of no use where it isn't valid)."""
-        anchor, code = np.zeros(self.n, np.uint64), np.zeros(self.n, np.uint64)
+    """``n`` positions of a unit from ``at`` on; its suffixes reach ``more`` bytes further, so that every string is whole."""
+
+    def __init__(self, unit: Unit, at: int, n: int):
+        self.unit, self.at, self.n, self.length = unit, at, n, unit.length
+        self.more = min(2 * self.length, unit.n - at - n)
+        self.w = words8(unit.padded, at, n + self.more + 128)
+        # the last length - 1 positions of a document, all of a shorter one, start no whole string
+        k = slice(np.searchsorted(unit.starts[1:], at, "right"), np.searchsorted(unit.starts[1:], at + n + self.length, "left"))
+        ends, sizes = unit.starts[1:][k], np.diff(unit.starts)[k]
+        low, high = np.maximum(ends - np.minimum(self.length - 1, sizes), at) - at, np.minimum(ends, at + n) - at
+        edge = np.zeros(n + 1, np.int8)
+        np.add.at(edge, low[low < high], 1)
+        np.add.at(edge, high[low < high], -1)
+        self.valid = np.cumsum(edge[:-1], dtype=np.int8) == 0
+
+    def doc(self, p: np.ndarray) -> np.ndarray:
+        """The document at each position."""
+        return self.unit.doc[np.searchsorted(self.unit.starts, p + self.at, side="right") - 1]
+
+    def anchors(self) -> np.ndarray:
+        """The anchor of the string at each position (of no use where it isn't valid)."""
+        span = self.length - GRAM + 1
+        out = np.empty(self.n, np.uint64)
         for at in range(0, self.n, STEP):  # small enough for the processor's cache
             n = min(STEP, self.n - at)
-            anchor[at : at + n], code[at : at + n] = self.hashed(self.w[at : at + n + 56], n)
-        return anchor, code
-
-    def hashed(self, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        size, span = n + self.length - GRAM, self.length - GRAM + 1
-        low, wide = mix(w[:size] + w[8 : size + 8] * np.uint64(0x9E3779B97F4A7C15) + w[16 : size + 16] * np.uint64(0xC2B2AE3D27D4EB4F)), 1
-        low = mix(low)
-        while wide * 2 <= span:
-            low = np.minimum(low[:-wide], low[wide:])
-            wide *= 2
-        if span > wide:
-            low = np.minimum(low[: len(low) - (span - wide)], low[span - wide :])
-        code = np.zeros(n, np.uint64)
-        for k in [*range(0, self.length - 8, 8), self.length - 8]:
-            code = mix(code + w[k : k + n])
-        return low[:n], code
-
-    def runs(self, anchor, code):
-        """Anchor, hash, smallest document and nothing else of each run of valid strings with one anchor in a document."""
+            w, size, wide = self.w[at : at + n + span + 16], n + span - 1, 1
+            low = mix(mix(w[:size] + w[8 : size + 8] * C1 + w[16 : size + 16] * C2))
+            while wide * 2 <= span:
+                low = np.minimum(low[:-wide], low[wide:])
+                wide *= 2
+            if span > wide:
+                low = np.minimum(low[: len(low) - (span - wide)], low[span - wide :])
+            out[at : at + n] = low[:n]
+        return out
+
+    def runs(self, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions, anchor and number of strings of each run of valid strings with one anchor; periodic text is cut."""
         at = np.flatnonzero(self.valid)
-        if not len(at):
-            return (np.zeros(0, np.int64),) * 3
-        a, c = anchor[at], code[at]
+        a = anchor[at]
         new = np.ones(len(at), bool)
         new[1:] = (a[1:] != a[:-1]) | (at[1:] != at[:-1] + 1)
+        k = np.arange(len(at))
+        new |= (k - np.maximum.accumulate(np.where(new, k, 0))) % (self.length - GRAM + 1) == 0
         begin = np.flatnonzero(new)
-        total = mix(np.add.reduceat(c, begin)) + mix(c[begin])
-        return distinct(a[begin].view(np.int64), total.view(np.int64), self.doc[at[begin]])
-
-    def local(self) -> np.ndarray:
-        """Smallest document of the shard that has the string at each position."""
-        out = self.doc.copy()
-        if not self.n:
-            return out
-        order, _ = suffix_order(self.w, self.n, 1 << (self.length - 1).bit_length())
-        order = order[self.valid[order]]
-        if len(order) > 1:
-            same = np.ones(len(order) - 1, bool)
-            for at in [*range(0, self.length - 8, 8), self.length - 8]:
-                same &= self.w[order[1:] + at] == self.w[order[:-1] + at]
-            begin = np.flatnonzero(np.concatenate(([True], ~same)))
-            least = np.minimum.reduceat(self.doc[order], begin)
-            out[order] = np.repeat(least, np.diff(np.append(begin, len(order))))
-        return out
+        return at[begin], a[begin], np.diff(np.append(begin, len(at)))
+
+    def code(self, p: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        """A hash of the ``size`` bytes from each position on, ``length`` at least."""
+        sizes = np.broadcast_to(np.asarray(size, np.int64), p.shape)
+        out = mix(sizes.astype(np.uint64) * C1)
+        for k in range(0, int(sizes.max(initial=0)) - 7, 8):
+            if k + 8 <= self.length:
+                out = mix(out + self.w[p + k])
+            else:
+                some = np.flatnonzero(sizes >= k + 8)
+                out[some] = mix(out[some] + self.w[p[some] + k])
+        return mix(out + self.w[p + sizes - 8])
+
+    def asked(self, anchor: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Positions of valid strings whose anchor is among the sorted ``wanted``."""
+        if not len(wanted) or not self.n:
+            return np.zeros(0, np.int64)
+        new = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))  # neighbours mostly share theirs
+        hit, _ = find(wanted, anchor[new])
+        return np.flatnonzero(np.repeat(hit, np.diff(np.append(new, self.n))) & self.valid)
+
+    def local(self) -> tuple[np.ndarray, np.ndarray]:
+        """Positions whose string stands in the shard several times, and the smallest document that has it."""
+        none, m = (np.zeros(0, np.int64),) * 2, self.n + self.more
+        depth = 1 << (self.length - 1).bit_length()
+        order, rank = suffix_order(self.w, m, depth)
+        if len(order) < 2:
+            return none
+        same = np.concatenate(([False], kasai(self.w, m, order, rank, depth)[1:] >= self.length))
+        of, own = np.cumsum(~same), order < self.n
+        own[own] = self.valid[order[own]]
+        order, of = order[own].astype(np.int64), of[own]
+        first = np.ones(len(order), bool)
+        first[1:] = of[1:] != of[:-1]
+        last = np.append(first[1:], True)
+        many = ~(first & last)
+        order, first = order[many], first[many]
+        if not len(order):
+            return none
+        begin, doc = np.flatnonzero(first), self.doc(order)
+        return order, np.repeat(np.minimum.reduceat(doc, begin), np.diff(np.append(begin, len(order))))
 
 
-def distinct(a, b, doc):
-    """Distinct pairs with the smallest document of each."""
-    order = np.lexsort((doc, b, a))
-    a, b, doc = a[order], b[order], doc[order]
-    first = np.ones(len(a), bool)
-    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[first], b[first], doc[first]
+def least_of(*keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, sorted by the first of them, with the smallest document of each."""
+    order = np.lexsort((doc, *keys[::-1]))
+    keys, doc = [k[order] for k in keys], doc[order]
+    first = np.ones(len(doc), bool)
+    if len(doc):
+        first[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return *(k[first] for k in keys), doc[first]
 
 
 def find(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,159 +254,253 @@ def find(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.nd
     return sorted_keys[at] == wanted, at
 
 
-SHARD_COLUMNS = ("shard", "doc_ids", "lengths", "data")
+# Exchange: sorted keys are dealt into buckets by their leading bits ---------------------------------------------------------
 
+SENT, NOTE = "bucket long, unit long, data binary", "unit long, kind int, bucket long, data binary"
+SENT_SCHEMA = pa.schema([("bucket", pa.int64()), ("unit", pa.int64()), ("data", pa.binary())])
+NOTE_SCHEMA = pa.schema([("unit", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("data", pa.binary())])
 
-def shards(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("data", pa.binary())])
 
-    def run(batches):
-        for ids, texts in each_text(batches, size):
-            raw = [t.encode("utf-8", "replace") if t else b"" for t in texts]
-            yield rows(schema, [ids], [[len(r) for r in raw]], [zstandard.compress(b"".join(raw), 3)])
+def place(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each key, and the 32 bits that follow."""
+    b, low = np.uint64(buckets), np.uint64(32)
+    whole = (keys >> low) * b + ((keys & np.uint64(0xFFFFFFFF)) * b >> low)
+    return (whole >> low).astype(np.int64), (whole & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
-    packed = two_columns(df, id_col, text_col).mapInArrow(run, "doc_ids array<long>, lengths array<long>, data binary")
-    return stored(packed.select(F.monotonically_increasing_id().alias("shard"), "*"), "shards")
 
+def parts(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
+    return begin, np.append(begin, len(bucket))
 
-def opened(r: dict, length: int) -> Shard:
-    ends = np.cumsum([0, *r["lengths"]]).tolist()
-    data = zstandard.decompress(r["data"]) if ends[-1] else b""
-    return Shard(r["doc_ids"], [data[a:b] for a, b in zip(ends, ends[1:])], length)
 
+def distinct(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of a unit's shards, and which of them several shards have."""
+    keys, n = np.unique(np.concatenate([np.unique(f) for f in found] or [np.zeros(0, np.uint64)]), return_counts=True)
+    return keys, n > 1
 
-def each_row(batches):
-    for b in batches:
-        for k in range(b.num_rows):
-            yield b.slice(k, 1)
 
+def presence(unit: int, keys: np.ndarray, buckets: int) -> pa.RecordBatch:
+    bucket, rest = place(keys, buckets)
+    begin, ends = parts(bucket)
+    return rows(SENT_SCHEMA, bucket[begin], [unit] * len(begin), [rest[a:b].tobytes() for a, b in zip(ends, ends[1:])])
 
-PACKED = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("data", pa.binary())])
 
+def shared(sent: DataFrame, kind: int) -> DataFrame:
+    """For each unit and bucket a bit for each key sent: whether another unit sent it too."""
 
-def dealt(shard: int, table: np.ndarray, buckets: int):
-    """The shard's rows (anchor, code, doc), sorted by anchor, as one packed row for each bucket of anchors."""
-    bucket = ((table[:, 0].view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    table, bucket = table[order], bucket[order]
-    begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(table) else np.zeros(0, np.int64)
-    parts = np.split(table, begin[1:]) if len(begin) else []
-    return rows(PACKED, bucket[begin], [shard] * len(parts), [np.ascontiguousarray(p.T).tobytes() for p in parts])
+    def merge(group: pa.Table) -> pa.Table:
+        unit, got = group.column("unit").to_pylist(), [np.frombuffer(d, np.uint32) for d in group.column("data").to_pylist()]
+        keys, sizes = np.concatenate(got), [len(g) for g in got]
+        order = np.argsort(keys, kind="stable")
+        same = keys[order][1:] == keys[order][:-1]
+        flag = np.zeros(len(keys), bool)
+        flag[order[1:][same]] = flag[order[:-1][same]] = True
+        cut = np.split(flag, np.cumsum(sizes)[:-1])
+        return pa.Table.from_batches([rows(NOTE_SCHEMA, unit, [kind] * len(unit), group.column("bucket").to_pylist(), [np.packbits(f).tobytes() for f in cut])])
 
+    return sent.groupBy("bucket").applyInArrow(merge, NOTE)
 
-def unpacked(data: bytes, width: int = 3) -> np.ndarray:
-    return np.frombuffer(data, np.int64).reshape(width, -1)
 
+def values(unit: int, order_by: np.ndarray, table: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows of a table (columns, keys) dealt by their keys' buckets."""
+    bucket, _ = place(order_by, buckets)
+    begin, ends = parts(bucket)
+    return rows(SENT_SCHEMA, bucket[begin], [unit] * len(begin), [np.ascontiguousarray(table[:, a:b]).tobytes() for a, b in zip(ends, ends[1:])])
 
-def merged(sent: DataFrame, strings: bool) -> DataFrame:
-    """For each shard and bucket the anchors (or strings) that other shards have too: (anchor, code, least), packed.
 
-    Anchors whose runs differ between shards come back with least -1 and are to be asked for string by string.
-    """
+def decided(sent: DataFrame, kind: int) -> DataFrame:
+    """For each unit and bucket (anchor, code, least document) of what it sent; least is MIXED where runs differ."""
 
     def merge(group: pa.Table) -> pa.Table:
-        shards_, packed = group.column("shard").to_numpy(), [unpacked(d) for d in group.column("data").to_pylist()]
-        shard = np.repeat(shards_, [p.shape[1] for p in packed])
-        anchor, code, doc = np.concatenate(packed, axis=1)
-        order = np.lexsort((code, anchor)) if strings else np.argsort(anchor, kind="stable")
-        shard, anchor, code, doc = shard[order], anchor[order], code[order], doc[order]
-        new = np.ones(len(anchor), bool)
-        new[1:] = anchor[1:] != anchor[:-1]
-        if strings:
-            new[1:] |= code[1:] != code[:-1]
-        begin = np.flatnonzero(new)
-        which = np.cumsum(new) - 1
-        several = np.minimum.reduceat(shard, begin) != np.maximum.reduceat(shard, begin)
-        least = np.minimum.reduceat(doc, begin)
-        differ = np.minimum.reduceat(code, begin) != np.maximum.reduceat(code, begin)
-        ask = differ[which] & (not strings)
-        told = several[which] & (ask | (least[which] < doc))
-        shard, out = shard[told], np.stack((anchor[told], code[told], np.where(ask, -1, least[which])[told]))
-        order = np.argsort(shard, kind="stable")
-        shard, out = shard[order], out[:, order]
-        begin = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else np.zeros(0, np.int64)
-        parts = np.split(out, begin[1:], axis=1) if len(begin) else []
-        return pa.table([pa.array(shard[begin], pa.int64()), pa.array([np.ascontiguousarray(p).tobytes() for p in parts], pa.binary())], ["shard", "data"])
-
-    return sent.groupBy("bucket").applyInArrow(merge, "shard long, data binary")
-
-
-def dedup(df: DataFrame, length: int = LENGTH, size: int = SHARD, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+        unit, got = group.column("unit").to_pylist(), [np.frombuffer(d, np.int64).reshape(3, -1) for d in group.column("data").to_pylist()]
+        sizes = [g.shape[1] for g in got]
+        anchor, code, doc = np.concatenate(got, axis=1)
+        order = np.lexsort((code, anchor)) if kind == LEAST else np.argsort(anchor, kind="stable")
+        a, c, d = anchor[order], code[order], doc[order]
+        new = np.ones(len(a), bool)
+        new[1:] = a[1:] != a[:-1]
+        if kind == LEAST:
+            new[1:] |= c[1:] != c[:-1]
+        begin, which = np.flatnonzero(new), np.cumsum(new) - 1
+        least = np.minimum.reduceat(d, begin)  # MIXED where a unit's own runs differ
+        if kind == RUNS:
+            least = np.where(np.minimum.reduceat(c, begin) != np.maximum.reduceat(c, begin), MIXED, least)
+        told = np.empty_like(doc)
+        told[order] = least[which]
+        cut = np.split(np.stack((anchor, code, told)) if kind == LEAST else np.stack((anchor, told)), np.cumsum(sizes)[:-1], axis=1)
+        return pa.Table.from_batches([rows(NOTE_SCHEMA, unit, [kind] * len(unit), group.column("bucket").to_pylist(), [np.ascontiguousarray(x).tobytes() for x in cut])])
+
+    return sent.groupBy("bucket").applyInArrow(merge, NOTE)
+
+
+class Notes:
+    """What a unit got back, by kind."""
+
+    def __init__(self, notes: list[dict] | None):
+        self.by: dict[int, list] = {}
+        for x in sorted(notes or (), key=lambda x: (x["kind"], x["bucket"])):
+            self.by.setdefault(x["kind"], []).append((x["bucket"], x["data"]))
+
+    def flags(self, kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
+        """The bit of each of the unit's sorted keys."""
+        bucket, _ = place(keys, buckets)
+        begin, ends = parts(bucket)
+        got = dict(self.by.get(kind, ()))
+        out = [np.unpackbits(np.frombuffer(got[b], np.uint8), count=e - s) for b, s, e in zip(bucket[begin].tolist(), ends, ends[1:])]
+        return np.concatenate(out).astype(bool) if out else np.zeros(0, bool)
+
+    def table(self, kind: int, width: int) -> np.ndarray:
+        got = [np.frombuffer(d, np.int64).reshape(width, -1) for _, d in self.by.get(kind, ())]
+        return np.concatenate(got, axis=1) if got else np.zeros((width, 0), np.int64)
+
+    def asked(self) -> np.ndarray:
+        """Sorted anchors that are to be told string by string."""
+        told = self.table(RUNS, 2)
+        return np.sort(told[0, told[1] == MIXED].view(np.uint64))
+
+
+def strings(s: Shard, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Position, anchor, code and key of each string whose anchor is asked for."""
+    anchor = s.anchors()
+    p = s.asked(anchor, wanted)
+    code = s.code(p, s.length)
+    return p, anchor[p], code, mix(mix(anchor[p] * C2 + code) + C1)
+
+
+def dedup(df: DataFrame, length: int = LENGTH, size: int = UNIT, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row and, ``with_text``, the spans and the bytes kept."""
-    all_shards = shards(df, id_col, text_col, size)
-    total = all_shards.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    buckets = 1 + total // 12 // MERGE
-    kind = "bucket long, shard long, data binary"
-
-    def send_runs(batches):
-        for b in each_row(batches):
-            r = b.to_pylist()[0]
-            s = opened(r, length)
-            yield dealt(r["shard"], np.stack(s.runs(*s.hashes()), axis=1), buckets)
-
-    anchors = stored(merged(all_shards.select(*SHARD_COLUMNS).mapInArrow(send_runs, kind), False).groupBy("shard").agg(F.collect_list("data").alias("anchors")), "anchors")
-
-    def send_strings(batches):
-        for b in each_row(batches):
-            r = b.to_pylist()[0]
-            named = np.concatenate([unpacked(d) for d in r["anchors"]], axis=1)
-            asked = np.unique(named[0, named[2] < 0])
-            if not len(asked):
-                continue
-            s = opened(r, length)
-            anchor, code = s.hashes()
-            hit, _ = find(asked, anchor.view(np.int64))
-            at = np.flatnonzero(hit & s.valid)
-            yield dealt(r["shard"], np.stack(distinct(anchor[at].view(np.int64), code[at].view(np.int64), s.doc[at]), axis=1), buckets)
-
-    with_anchors = all_shards.join(anchors, "shard", "left")
-    told = merged(all_shards.join(anchors, "shard").mapInArrow(send_strings, kind), True).groupBy("shard").agg(F.collect_list("data").alias("strings"))
+    texts = two_columns(df, id_col, text_col)
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets, packed = 1 + total // 12 // MERGE, pa.schema([("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("data", pa.binary())])
+
+    def pack(batches):
+        for ids, some in each_text(batches, size):
+            raw = [t.encode("utf-8", "replace") if t else b"" for t in some]
+            yield rows(packed, [ids], [[len(r) for r in raw]], [zstandard.compress(b"".join(raw), 3)])
+
+    laid = texts.mapInArrow(pack, "doc_ids array<long>, lengths array<long>, data binary").select(F.monotonically_increasing_id().alias("unit"), "*")
+    units = bucketed(laid, "units", "unit", 1 + int(total // (2 * size)))
+    notes: list[DataFrame] = []
+
+    def each(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                r = b.slice(k, 1).to_pylist()[0]
+                yield r["unit"], Unit.of(r, length, shard), Notes(r["notes"])
+
+    def ask(step, kind: str) -> DataFrame:
+        """Run a step over all units, each with the notes it got so far."""
+        got = units.withColumn("notes", F.lit(None).cast("array<struct<kind:int,bucket:long,data:binary>>"))
+        if notes:
+            every = notes[0]
+            for n in notes[1:]:
+                every = every.unionByName(n)
+            # a row for each bucket a unit has keys in: bounded by the unit's size
+            by = every.groupBy("unit").agg(F.collect_list(F.struct("kind", "bucket", "data")).alias("notes"))
+            got = units.join(by.hint("shuffle_hash"), "unit", "left")
+        return got.select("unit", "doc_ids", "lengths", "data", "notes").mapInArrow(step, kind)
+
+    def tell_anchors(batches):
+        for unit, u, _ in each(batches):
+            yield presence(unit, distinct([s.runs(s.anchors())[1] for s in u.shards()])[0], buckets)
+
+    def tell_runs(batches):
+        for unit, u, had in each(batches):
+            found, seen = [], []
+            for s in u.shards():
+                p, a, n = s.runs(s.anchors())
+                seen.append(a)
+                found.append((a, s.code(p, n + length - 1), s.doc(p)))
+            keys, many = distinct(seen)
+            many |= had.flags(ANCHORS, keys, buckets)
+            a, c, d = (np.concatenate([f[k] for f in found] or [np.zeros(0, t)]) for k, t in enumerate((np.uint64, np.uint64, np.int64)))
+            some = find(keys[many], a)[0]
+            a, c, d = least_of(a[some], c[some], doc=d[some])
+            begin, ends = parts(a)
+            if len(begin):  # one row for an anchor: where its runs differ, that is all there is to tell
+                d = np.where(np.diff(ends) > 1, MIXED, d[begin])
+                a, c = a[begin], c[begin]
+            yield values(unit, a, np.stack((a.view(np.int64), c.view(np.int64), d)), buckets)
+
+    def tell_strings(batches):
+        for unit, u, had in each(batches):
+            wanted = had.asked()
+            yield presence(unit, distinct([strings(s, wanted)[3] for s in u.shards()] if len(wanted) else [])[0], buckets)
+
+    def tell_least(batches):
+        for unit, u, had in each(batches):
+            wanted, found = had.asked(), []
+            for s in u.shards() if len(wanted) else ():
+                p, a, c, key = strings(s, wanted)
+                found.append((key, a, c, s.doc(p)))
+            keys, many = distinct([f[0] for f in found])
+            many |= had.flags(STRINGS, keys, buckets)
+            key, a, c, d = (np.concatenate([f[k] for f in found] or [np.zeros(0, t)]) for k, t in enumerate((np.uint64, np.uint64, np.uint64, np.int64)))
+            some = find(keys[many], key)[0]
+            key, a, c, d = least_of(key[some], a[some], c[some], doc=d[some])
+            yield values(unit, key, np.stack((a.view(np.int64), c.view(np.int64), d)), buckets)
+
+    spark = df.sparkSession
+    for step, merge, kind in ((tell_anchors, shared, ANCHORS), (tell_runs, decided, RUNS), (tell_strings, shared, STRINGS), (tell_least, decided, LEAST)):
+        with batches_of(spark, 2):
+            notes.append(stored(merge(ask(step, SENT), kind), "notes"))
+        if kind == RUNS:
+            notes.pop(0)  # the anchors' bits have been used
+
     out_schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + ([("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())] if with_text else []))
 
     def cut(batches):
-        for b in each_row(batches):
-            r = b.to_pylist()[0]
-            s = opened(r, length)
-            anchor, code = (x.view(np.int64) for x in s.hashes())
-            best = s.local()
-            if r["anchors"]:
-                named = np.concatenate([unpacked(d) for d in r["anchors"]], axis=1)
-                named = named[:, named[2] >= 0]
-                named = named[:, np.argsort(named[0], kind="stable")]
-                new = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))  # neighbours mostly share theirs
-                hit, at = find(named[0], anchor[new])
-                told = np.full(len(new), LAST)
-                told[hit] = named[2, at[hit]]
-                best = np.minimum(best, np.repeat(told, np.diff(np.append(new, s.n))))
-            if r["strings"]:
-                named = np.concatenate([unpacked(d) for d in r["strings"]], axis=1)
-                named = named[:, np.argsort(named[1], kind="stable")]
-                asked = np.unique(named[0])
-                new = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-                own, _ = find(asked, anchor[new])
-                p = np.flatnonzero(np.repeat(own, np.diff(np.append(new, s.n))))
-                hit, at = find(named[1], code[p])
-                hit &= named[0, at] == anchor[p]
-                best[p[hit]] = np.minimum(best[p[hit]], named[2, at[hit]])
-            gone = np.flatnonzero(s.valid & (best < s.doc))
-            edge = np.zeros(s.n + 1, np.int32)
-            edge[gone] += 1
-            edge[gone + length] -= 1
-            removed = np.cumsum(edge[:-1]) > 0
-            data = np.frombuffer(s.bytes, np.uint8)
-            columns = [[] for _ in out_schema]
-            for k, doc in enumerate(s.ids):
-                a, e = s.starts[k], s.starts[k + 1]
-                own = removed[a:e]
-                turns = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
-                kept = data[a:e][~own].tobytes()
-                values = [doc, int(e - a), int(own.sum()), len(turns) // 2, hashlib.sha256(kept).hexdigest()]
-                for column, v in zip(columns, [*values, turns.reshape(-1, 2).tolist(), kept] if with_text else values, strict=True):
-                    column.append(v)
-            yield rows(out_schema, *columns)
+        for _, u, had in each(batches):
+            told, named = had.table(RUNS, 2), had.table(LEAST, 3)
+            told = told[:, told[1] != MIXED]
+            told = told[:, np.argsort(told[0].view(np.uint64))]
+            named, wanted = named[:, np.argsort(named[1].view(np.uint64), kind="stable")], had.asked()
+            gone = [removed(s, told, named, wanted) for s in u.shards()]
+            yield rows(out_schema, *reported(u, np.concatenate(gone or [np.zeros(0, np.int64)]), with_text))
 
     shown = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", spans array<array<long>>, kept binary" if with_text else "")
-    return with_anchors.join(told, "shard", "left").mapInArrow(cut, shown)
+    with batches_of(spark, 2):
+        return stored(ask(cut, shown), "deduplicated")
+
+
+def removed(s: Shard, told: np.ndarray, named: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Positions in the unit of strings that a smaller document has: by the shard's own classes and by what came back."""
+    best = np.full(s.n, LAST)
+    p, least = s.local()
+    best[p] = least
+    anchor = s.anchors()
+    new = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+    hit, at = find(told[0].view(np.uint64), anchor[new])
+    if hit.any():
+        best = np.minimum(best, np.repeat(np.where(hit, told[1, at], LAST), np.diff(np.append(new, s.n))))
+    if len(wanted) and named.shape[1]:
+        p = s.asked(anchor, wanted)
+        hit, at = find(named[1].view(np.uint64), s.code(p, s.length))
+        hit &= named[0, at].view(np.uint64) == anchor[p]
+        best[p[hit]] = np.minimum(best[p[hit]], named[2, at[hit]])
+    some = np.flatnonzero(s.valid & (best < LAST))
+    return some[best[some] < s.doc(some)] + s.at
+
+
+def reported(u: Unit, gone: np.ndarray, with_text: bool) -> list[list]:
+    """The result's columns for the documents of a unit."""
+    edge = np.zeros(u.n + 1, np.int8)
+    if len(gone):
+        first = np.concatenate(([True], gone[1:] > gone[:-1] + u.length))
+        edge[gone[first]] = 1
+        edge[gone[np.append(np.flatnonzero(first)[1:] - 1, len(gone) - 1)] + u.length] -= 1
+    mask, data = np.cumsum(edge[:-1], dtype=np.int8).view(bool), np.frombuffer(u.bytes, np.uint8)
+    columns: list[list] = [[] for _ in range(7 if with_text else 5)]
+    for k, doc in enumerate(u.ids):
+        a, e = u.starts[k], u.starts[k + 1]
+        own = mask[a:e]
+        n = int(np.count_nonzero(own))
+        turns = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0])))) if n else np.zeros(0, np.int64)
+        kept = data[a:e][~own].tobytes() if n else u.bytes[a:e]
+        row = [doc, int(e - a), n, len(turns) // 2, hashlib.sha256(kept).hexdigest()]
+        for column, v in zip(columns, [*row, turns.reshape(-1, 2).tolist(), kept] if with_text else row, strict=True):
+            column.append(v)
+    return columns
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:

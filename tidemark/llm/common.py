@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -65,14 +66,18 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
 
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete stored tables that nothing will read again."""
-    jvm = spark.sparkContext._jvm
-    root = f"{shared_dir(spark).rstrip('/')}/tidemark/"
     for f in {f for t in tables for f in t.inputFiles()}:
-        folder = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        if "/tidemark/" in folder.toString() and root.split("://")[-1].rstrip("/").split("//")[-1] in folder.toString():
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f).getParent()
+        if "/tidemark/" in folder.toString():
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner find the shuffles of finished steps; else their files wait for the driver's next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under fixed names, so that no other column of the input can clash."""
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))

@@ -15,7 +15,7 @@ grams, so equal strings have equal anchors wherever they stand, and neighbouring
 2. For those it tells a hash of the bytes of the run of strings with that anchor and the smallest document; an anchor whose
    runs are alike everywhere is decided by that.
 3. For anchors whose runs differ it tells the strings one by one, four bytes each, and learns which are shared.
-4. For those it tells two hashes of 64 bits and the smallest document.
+4. For those it tells 96 bits of hashes and the smallest document, and learns the smallest of all where it is another.
 
 Shards merge what comes back into their own strings by binary search. A unit sends each key once, so a passage that very
 many documents share costs one row for each unit, and strings are dealt by their own hash, not by their anchor's. The
@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, bucketed, each_text, rows, stored, two_columns
+from .common import batches_of, bucketed, discard, each_text, free_shuffles, rows, stored, two_columns
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text in a unit (one longer text is a unit of its own) and positions in a shard.
@@ -181,18 +181,20 @@ class Shard:
             if span > wide:
                 low = np.minimum(low[: len(low) - (span - wide)], low[span - wide :])
             out[at : at + n] = low[:n]
-        return out
+        return np.maximum(out, np.uint64(1))  # 0 stands for none
 
     def runs(self, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Positions, anchor and number of strings of each run of valid strings with one anchor; periodic text is cut."""
-        at = np.flatnonzero(self.valid)
-        a = anchor[at]
-        new = np.ones(len(at), bool)
-        new[1:] = (a[1:] != a[:-1]) | (at[1:] != at[:-1] + 1)
-        k = np.arange(len(at))
-        new |= (k - np.maximum.accumulate(np.where(new, k, 0))) % (self.length - GRAM + 1) == 0
-        begin = np.flatnonzero(new)
-        return at[begin], a[begin], np.diff(np.append(begin, len(at)))
+        own = np.where(self.valid, anchor, np.uint64(0))
+        begin = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        size = np.diff(np.append(begin, self.n))
+        begin, size = begin[own[begin] != 0], size[own[begin] != 0]
+        most = self.length - GRAM + 1
+        if len(size) and size.max() > most:
+            many = -(-size // most)
+            k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            begin, size = np.repeat(begin, many) + k * most, np.minimum(np.repeat(size, many) - k * most, most)
+        return begin, own[begin], size
 
     def code(self, p: np.ndarray, size: np.ndarray | int) -> np.ndarray:
         """A hash of the ``size`` bytes from each position on, ``length`` at least."""
@@ -208,12 +210,16 @@ class Shard:
 
     def asked(self, anchor: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         """Positions of valid strings whose anchor is among the sorted ``wanted``."""
-        if not len(wanted) or not self.n:
-            return np.zeros(0, np.int64)
         new = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))  # neighbours mostly share theirs
         hit, _ = find(wanted, anchor[new])
         return np.flatnonzero(np.repeat(hit, np.diff(np.append(new, self.n))) & self.valid)
 
+    def strings(self, anchor: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Position, key and code of each string whose anchor is asked for."""
+        p = self.asked(anchor, wanted)
+        code = self.code(p, self.length)
+        return p, mix(mix(anchor[p] * C2 + code) + C1), code
+
     def local(self) -> tuple[np.ndarray, np.ndarray]:
         """Positions whose string stands in the shard several times, and the smallest document that has it."""
         none, m = (np.zeros(0, np.int64),) * 2, self.n + self.more
@@ -236,16 +242,6 @@ class Shard:
         return order, np.repeat(np.minimum.reduceat(doc, begin), np.diff(np.append(begin, len(order))))
 
 
-def least_of(*keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys, sorted by the first of them, with the smallest document of each."""
-    order = np.lexsort((doc, *keys[::-1]))
-    keys, doc = [k[order] for k in keys], doc[order]
-    first = np.ones(len(doc), bool)
-    if len(doc):
-        first[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    return *(k[first] for k in keys), doc[first]
-
-
 def find(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Binary search: which of ``wanted`` are among the keys, and where."""
     if not len(sorted_keys):
@@ -261,74 +257,91 @@ SENT_SCHEMA = pa.schema([("bucket", pa.int64()), ("unit", pa.int64()), ("data",
 NOTE_SCHEMA = pa.schema([("unit", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("data", pa.binary())])
 
 
-def place(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each key, and the 32 bits that follow."""
+def place(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each key in the upper 32 bits, what follows in the lower ones; in the order of the keys."""
     b, low = np.uint64(buckets), np.uint64(32)
-    whole = (keys >> low) * b + ((keys & np.uint64(0xFFFFFFFF)) * b >> low)
-    return (whole >> low).astype(np.int64), (whole & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return (keys >> low) * b + ((keys & np.uint64(0xFFFFFFFF)) * b >> low)
 
 
-def parts(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def parts(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of sorted places, and where each begins and the last ends."""
+    bucket = (places >> np.uint64(32)).astype(np.int64)
     begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
-    return begin, np.append(begin, len(bucket))
+    return bucket[begin], np.append(begin, len(bucket))
 
 
-def distinct(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys of a unit's shards, and which of them several shards have."""
-    keys, n = np.unique(np.concatenate([np.unique(f) for f in found] or [np.zeros(0, np.uint64)]), return_counts=True)
-    return keys, n > 1
+def squeezed(*columns: np.ndarray) -> bytes:
+    """Columns byte plane by byte plane, compressed: the upper bytes of documents and of differences are mostly zero."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, c.itemsize).T).tobytes() for c in columns), 1)
+
+
+def opened(data: bytes, *kinds) -> list[np.ndarray]:
+    raw = zstandard.decompress(data)
+    widths = [np.dtype(k).itemsize for k in kinds]
+    n, at, out = len(raw) // sum(widths), 0, []
+    for kind, wide in zip(kinds, widths, strict=True):
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * wide, at).reshape(wide, n).T).view(kind).reshape(n))
+        at += n * wide
+    return out
 
 
 def presence(unit: int, keys: np.ndarray, buckets: int) -> pa.RecordBatch:
-    bucket, rest = place(keys, buckets)
-    begin, ends = parts(bucket)
-    return rows(SENT_SCHEMA, bucket[begin], [unit] * len(begin), [rest[a:b].tobytes() for a, b in zip(ends, ends[1:])])
+    """Sorted distinct keys of a unit: what follows the bucket, as differences."""
+    places = place(keys, buckets)
+    named, ends = parts(places)
+    rest = places.astype(np.uint32)
+    return rows(SENT_SCHEMA, named, [unit] * len(named), [squeezed(np.diff(rest[a:b], prepend=np.uint32(0))) for a, b in zip(ends, ends[1:])])
 
 
 def shared(sent: DataFrame, kind: int) -> DataFrame:
     """For each unit and bucket a bit for each key sent: whether another unit sent it too."""
 
     def merge(group: pa.Table) -> pa.Table:
-        unit, got = group.column("unit").to_pylist(), [np.frombuffer(d, np.uint32) for d in group.column("data").to_pylist()]
-        keys, sizes = np.concatenate(got), [len(g) for g in got]
+        unit, got = group.column("unit").to_pylist(), [np.cumsum(opened(d, np.uint32)[0], dtype=np.uint32) for d in group.column("data").to_pylist()]
+        keys = np.concatenate(got)
         order = np.argsort(keys, kind="stable")
         same = keys[order][1:] == keys[order][:-1]
         flag = np.zeros(len(keys), bool)
         flag[order[1:][same]] = flag[order[:-1][same]] = True
-        cut = np.split(flag, np.cumsum(sizes)[:-1])
+        cut = np.split(flag, np.cumsum([len(g) for g in got])[:-1])
         return pa.Table.from_batches([rows(NOTE_SCHEMA, unit, [kind] * len(unit), group.column("bucket").to_pylist(), [np.packbits(f).tobytes() for f in cut])])
 
     return sent.groupBy("bucket").applyInArrow(merge, NOTE)
 
 
-def values(unit: int, order_by: np.ndarray, table: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Rows of a table (columns, keys) dealt by their keys' buckets."""
-    bucket, _ = place(order_by, buckets)
-    begin, ends = parts(bucket)
-    return rows(SENT_SCHEMA, bucket[begin], [unit] * len(begin), [np.ascontiguousarray(table[:, a:b]).tobytes() for a, b in zip(ends, ends[1:])])
+def values(unit: int, keys: np.ndarray, buckets: int, *columns: np.ndarray) -> pa.RecordBatch:
+    """Columns of a unit's sorted keys, dealt by the keys."""
+    named, ends = parts(place(keys, buckets))
+    return rows(SENT_SCHEMA, named, [unit] * len(named), [squeezed(*(c[a:b] for c in columns)) for a, b in zip(ends, ends[1:])])
+
+
+#: Columns that units tell, and that they get back: a key, a check of its bytes, the smallest document, whether several of
+#: the unit's shards have the key. A run's key is its anchor.
+TOLD = {RUNS: (np.uint64, np.uint64, np.int64, np.uint8), LEAST: (np.uint64, np.uint32, np.int64, np.uint8)}
 
 
 def decided(sent: DataFrame, kind: int) -> DataFrame:
-    """For each unit and bucket (anchor, code, least document) of what it sent; least is MIXED where runs differ."""
+    """For each unit and bucket the keys and least documents that its shards don't know; MIXED where runs differ."""
 
     def merge(group: pa.Table) -> pa.Table:
-        unit, got = group.column("unit").to_pylist(), [np.frombuffer(d, np.int64).reshape(3, -1) for d in group.column("data").to_pylist()]
-        sizes = [g.shape[1] for g in got]
-        anchor, code, doc = np.concatenate(got, axis=1)
-        order = np.lexsort((code, anchor)) if kind == LEAST else np.argsort(anchor, kind="stable")
-        a, c, d = anchor[order], code[order], doc[order]
-        new = np.ones(len(a), bool)
-        new[1:] = a[1:] != a[:-1]
+        unit, got = group.column("unit").to_pylist(), [opened(d, *TOLD[kind]) for d in group.column("data").to_pylist()]
+        key, check, doc, several = (np.concatenate(c) for c in zip(*got, strict=True))
+        order = np.lexsort((check, key)) if kind == LEAST else np.argsort(key, kind="stable")
+        k, c = key[order], check[order]
+        new = np.ones(len(k), bool)
+        new[1:] = k[1:] != k[:-1]
         if kind == LEAST:
             new[1:] |= c[1:] != c[:-1]
-        begin, which = np.flatnonzero(new), np.cumsum(new) - 1
-        least = np.minimum.reduceat(d, begin)  # MIXED where a unit's own runs differ
+        begin = np.flatnonzero(new)
+        least = np.minimum.reduceat(doc[order], begin)  # MIXED where a unit's own runs differ
         if kind == RUNS:
-            least = np.where(np.minimum.reduceat(c, begin) != np.maximum.reduceat(c, begin), MIXED, least)
+            least[np.minimum.reduceat(c, begin) != np.maximum.reduceat(c, begin)] = MIXED
         told = np.empty_like(doc)
-        told[order] = least[which]
-        cut = np.split(np.stack((anchor, code, told)) if kind == LEAST else np.stack((anchor, told)), np.cumsum(sizes)[:-1], axis=1)
-        return pa.Table.from_batches([rows(NOTE_SCHEMA, unit, [kind] * len(unit), group.column("bucket").to_pylist(), [np.ascontiguousarray(x).tobytes() for x in cut])])
+        told[order] = np.repeat(least, np.diff(np.append(begin, len(k))))
+        tell = (told < doc) | (told == MIXED) | (several > 0)
+        ends = np.cumsum([0, *(len(g[0]) for g in got)])
+        data = [squeezed(key[a:b][tell[a:b]], told[a:b][tell[a:b]]) for a, b in zip(ends, ends[1:])]
+        return pa.Table.from_batches([rows(NOTE_SCHEMA, unit, [kind] * len(unit), group.column("bucket").to_pylist(), data)])
 
     return sent.groupBy("bucket").applyInArrow(merge, NOTE)
 
@@ -337,34 +350,49 @@ class Notes:
     """What a unit got back, by kind."""
 
     def __init__(self, notes: list[dict] | None):
-        self.by: dict[int, list] = {}
+        self.by: dict[int, dict] = {}
         for x in sorted(notes or (), key=lambda x: (x["kind"], x["bucket"])):
-            self.by.setdefault(x["kind"], []).append((x["bucket"], x["data"]))
+            self.by.setdefault(x["kind"], {})[x["bucket"]] = x["data"]
 
     def flags(self, kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
         """The bit of each of the unit's sorted keys."""
-        bucket, _ = place(keys, buckets)
-        begin, ends = parts(bucket)
-        got = dict(self.by.get(kind, ()))
-        out = [np.unpackbits(np.frombuffer(got[b], np.uint8), count=e - s) for b, s, e in zip(bucket[begin].tolist(), ends, ends[1:])]
+        named, ends = parts(place(keys, buckets))
+        out = [np.unpackbits(np.frombuffer(self.by[kind][b], np.uint8), count=e - s) for b, s, e in zip(named.tolist(), ends, ends[1:])]
         return np.concatenate(out).astype(bool) if out else np.zeros(0, bool)
 
-    def table(self, kind: int, width: int) -> np.ndarray:
-        got = [np.frombuffer(d, np.int64).reshape(width, -1) for _, d in self.by.get(kind, ())]
-        return np.concatenate(got, axis=1) if got else np.zeros((width, 0), np.int64)
+    def told(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted anchors of runs, or keys of strings, and their least documents."""
+        keys, least = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for data in self.by.get(kind, {}).values():
+            key, doc = opened(data, np.uint64, np.int64)
+            keys.append(key)
+            least.append(doc)
+        key, doc = np.concatenate(keys), np.concatenate(least)
+        order = np.argsort(key, kind="stable")
+        return key[order], doc[order]
 
     def asked(self) -> np.ndarray:
         """Sorted anchors that are to be told string by string."""
-        told = self.table(RUNS, 2)
-        return np.sort(told[0, told[1] == MIXED].view(np.uint64))
+        anchors, least = self.told(RUNS)
+        return anchors[least == MIXED]
 
 
-def strings(s: Shard, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Position, anchor, code and key of each string whose anchor is asked for."""
-    anchor = s.anchors()
-    p = s.asked(anchor, wanted)
-    code = s.code(p, s.length)
-    return p, anchor[p], code, mix(mix(anchor[p] * C2 + code) + C1)
+class Groups:
+    """Keys of a unit's shards, grouped: distinct and sorted, and whether several shards have each."""
+
+    def __init__(self, found: list[np.ndarray]):
+        every = np.concatenate([np.zeros(0, np.uint64), *found])
+        which = np.repeat(np.arange(len(found), dtype=np.int32), [len(f) for f in found])
+        self.order = np.argsort(every)
+        every = every[self.order]
+        self.begin = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
+        self.keys = every[self.begin]
+        self.several = self.ends(np.minimum, [which]) != self.ends(np.maximum, [which])
+
+    def ends(self, how: np.ufunc, columns: list[np.ndarray]) -> np.ndarray:
+        """The least or the greatest value of each group."""
+        column = np.concatenate(columns)[self.order] if columns else np.zeros(0, np.int64)
+        return how.reduceat(column, self.begin) if len(self.begin) else column[:0]
 
 
 def dedup(df: DataFrame, length: int = LENGTH, size: int = UNIT, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -402,82 +430,81 @@ def dedup(df: DataFrame, length: int = LENGTH, size: int = UNIT, shard: int = SH
 
     def tell_anchors(batches):
         for unit, u, _ in each(batches):
-            yield presence(unit, distinct([s.runs(s.anchors())[1] for s in u.shards()])[0], buckets)
+            yield presence(unit, Groups([s.runs(s.anchors())[1] for s in u.shards()]).keys, buckets)
 
     def tell_runs(batches):
         for unit, u, had in each(batches):
-            found, seen = [], []
+            anchors, codes, docs = [], [], []
             for s in u.shards():
                 p, a, n = s.runs(s.anchors())
-                seen.append(a)
-                found.append((a, s.code(p, n + length - 1), s.doc(p)))
-            keys, many = distinct(seen)
-            many |= had.flags(ANCHORS, keys, buckets)
-            a, c, d = (np.concatenate([f[k] for f in found] or [np.zeros(0, t)]) for k, t in enumerate((np.uint64, np.uint64, np.int64)))
-            some = find(keys[many], a)[0]
-            a, c, d = least_of(a[some], c[some], doc=d[some])
-            begin, ends = parts(a)
-            if len(begin):  # one row for an anchor: where its runs differ, that is all there is to tell
-                d = np.where(np.diff(ends) > 1, MIXED, d[begin])
-                a, c = a[begin], c[begin]
-            yield values(unit, a, np.stack((a.view(np.int64), c.view(np.int64), d)), buckets)
+                anchors.append(a)
+                codes.append(s.code(p, n + length - 1))
+                docs.append(s.doc(p))
+            g = Groups(anchors)
+            tell = g.several | had.flags(ANCHORS, g.keys, buckets)
+            code, alike = g.ends(np.minimum, codes), g.ends(np.minimum, codes) == g.ends(np.maximum, codes)
+            # one row for an anchor: where its runs differ, that is all there is to tell
+            doc = np.where(alike, g.ends(np.minimum, docs), MIXED)
+            keys = g.keys[tell]
+            yield values(unit, keys, buckets, keys, code[tell], doc[tell], g.several[tell].view(np.uint8))
 
     def tell_strings(batches):
         for unit, u, had in each(batches):
             wanted = had.asked()
-            yield presence(unit, distinct([strings(s, wanted)[3] for s in u.shards()] if len(wanted) else [])[0], buckets)
+            yield presence(unit, Groups([s.strings(s.anchors(), wanted)[1] for s in u.shards()] if len(wanted) else []).keys, buckets)
 
     def tell_least(batches):
         for unit, u, had in each(batches):
-            wanted, found = had.asked(), []
+            wanted, keys, codes, docs = had.asked(), [], [], []
             for s in u.shards() if len(wanted) else ():
-                p, a, c, key = strings(s, wanted)
-                found.append((key, a, c, s.doc(p)))
-            keys, many = distinct([f[0] for f in found])
-            many |= had.flags(STRINGS, keys, buckets)
-            key, a, c, d = (np.concatenate([f[k] for f in found] or [np.zeros(0, t)]) for k, t in enumerate((np.uint64, np.uint64, np.uint64, np.int64)))
-            some = find(keys[many], key)[0]
-            key, a, c, d = least_of(key[some], a[some], c[some], doc=d[some])
-            yield values(unit, key, np.stack((a.view(np.int64), c.view(np.int64), d)), buckets)
+                p, key, code = s.strings(s.anchors(), wanted)
+                keys.append(key)
+                codes.append(code.astype(np.uint32))
+                docs.append(s.doc(p))
+            g = Groups(keys)
+            tell = g.several | had.flags(STRINGS, g.keys, buckets)
+            columns = g.ends(np.minimum, codes).astype(np.uint32), g.ends(np.minimum, docs), g.several.view(np.uint8)
+            yield values(unit, g.keys[tell], buckets, g.keys[tell], *(c[tell] for c in columns))
 
     spark = df.sparkSession
     for step, merge, kind in ((tell_anchors, shared, ANCHORS), (tell_runs, decided, RUNS), (tell_strings, shared, STRINGS), (tell_least, decided, LEAST)):
         with batches_of(spark, 2):
             notes.append(stored(merge(ask(step, SENT), kind), "notes"))
-        if kind == RUNS:
-            notes.pop(0)  # the anchors' bits have been used
+        free_shuffles(spark)
+        if len(notes) > 1 and kind in (RUNS, LEAST):
+            discard(spark, notes.pop(-2))  # the bits have been used
 
     out_schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + ([("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())] if with_text else []))
 
     def cut(batches):
         for _, u, had in each(batches):
-            told, named = had.table(RUNS, 2), had.table(LEAST, 3)
-            told = told[:, told[1] != MIXED]
-            told = told[:, np.argsort(told[0].view(np.uint64))]
-            named, wanted = named[:, np.argsort(named[1].view(np.uint64), kind="stable")], had.asked()
-            gone = [removed(s, told, named, wanted) for s in u.shards()]
+            runs, strings, wanted = had.told(RUNS), had.told(LEAST), had.asked()
+            gone = [removed(s, runs, strings, wanted) for s in u.shards()]
             yield rows(out_schema, *reported(u, np.concatenate(gone or [np.zeros(0, np.int64)]), with_text))
 
     shown = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", spans array<array<long>>, kept binary" if with_text else "")
     with batches_of(spark, 2):
-        return stored(ask(cut, shown), "deduplicated")
+        out = stored(ask(cut, shown), "deduplicated")
+    discard(spark, units, *notes)
+    return out
 
 
-def removed(s: Shard, told: np.ndarray, named: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+def removed(s: Shard, runs: tuple, strings: tuple, wanted: np.ndarray) -> np.ndarray:
     """Positions in the unit of strings that a smaller document has: by the shard's own classes and by what came back."""
     best = np.full(s.n, LAST)
     p, least = s.local()
     best[p] = least
     anchor = s.anchors()
     new = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-    hit, at = find(told[0].view(np.uint64), anchor[new])
+    hit, at = find(runs[0], anchor[new])
     if hit.any():
-        best = np.minimum(best, np.repeat(np.where(hit, told[1, at], LAST), np.diff(np.append(new, s.n))))
-    if len(wanted) and named.shape[1]:
-        p = s.asked(anchor, wanted)
-        hit, at = find(named[1].view(np.uint64), s.code(p, s.length))
-        hit &= named[0, at].view(np.uint64) == anchor[p]
-        best[p[hit]] = np.minimum(best[p[hit]], named[2, at[hit]])
+        told = np.where(hit, runs[1][at], LAST)
+        told[told == MIXED] = LAST
+        best = np.minimum(best, np.repeat(told, np.diff(np.append(new, s.n))))
+    if len(wanted) and len(strings[0]):
+        p, key, _ = s.strings(anchor, wanted)
+        hit, at = find(strings[0], key)
+        best[p[hit]] = np.minimum(best[p[hit]], strings[1][at[hit]])
     some = np.flatnonzero(s.valid & (best < LAST))
     return some[best[some] < s.doc(some)] + s.at
 

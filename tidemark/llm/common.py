@@ -75,6 +75,7 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner find the shuffles of finished steps; else their files wait for the driver's next collection."""
     gc.collect()
+    spark.range(1).count()  # so that nothing holds on to the last plan
     spark.sparkContext._jvm.System.gc()
 
 

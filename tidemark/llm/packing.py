@@ -4,13 +4,14 @@ A document is cut into whole windows and a remainder. How the remainders share w
 of each length, a histogram of at most ``size`` numbers, so the plan is made on the driver from that alone, whatever the
 size of the corpus. The plan takes the longest length left, finds the multiset of lengths that fills the window closest to
 its capacity (subset sums as bits of one integer, counts by backtracking) and applies it as often as the histogram allows.
-Where no multiset fills the window, one that sums to a smaller power of two is taken, which needs no padding either.
 
 Pieces get their places by rank within their length. Ranks are counted inside a partition while tokenizing and shifted by
 the counts of the partitions before it, so one length that a third of all rows have never meets in one task.
 
-Defined cases: a null or empty text is the closing token alone; repeated rows are packed each for itself; an empty table
-gives no pieces; a null doc_id stays null.
+Defined cases: a null or empty text is the closing token alone; a text longer than a window is cut wherever it ends, whole
+texts are tokenized; repeated rows are packed each for itself; of multisets that fill a window alike the same one is taken for the
+same histogram; an empty table gives no pieces; a
+null doc_id stays null; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ END = 1
 #: Bytes of text that are tokenized at once; the library keeps about a hundred bytes for each of their tokens.
 AT_ONCE = 1 << 20
 #: Tokens of words that a worker remembers in each of two halves; the older half goes when the newer is full.
-HELD = 1 << 19
+HELD = 1 << 17
 MARK = "|"
 
 
@@ -149,8 +150,6 @@ def fill(left: dict[int, int], size: int) -> dict[int, int]:
         if reach != before:
             trail.append((n, before))
     total = size if reach >> size & 1 else reach.bit_length() - 1
-    if total < size and total & total - 1:
-        total = next((1 << k for k in range(size.bit_length() - 1, -1, -1) if reach >> (1 << k) & 1), total)
     counts: dict[int, int] = {}
     for n, before in reversed(trail):
         while not before >> total & 1:

@@ -5,7 +5,10 @@ account numbers, IPv6). Gradient-boosted trees, trained here on generated exampl
 and its context. Scores are calibrated by Platt scaling on held-out examples, and each kind has the lowest threshold
 that keeps the wanted precision there. Of accepted candidates that overlap, the best score stays; base spans always stay.
 
-Defined cases: a null or empty text has no spans; repeated rows each get their own result; positions are code points.
+Defined cases: a null or empty text has no spans; texts are read whole, whatever their length; repeated rows each get their
+own result; of candidates with one score the first, then the shorter, then the first kind by name is taken; positions are
+code points; an empty table gives no rows; other columns are not read (``redact`` returns them as they are and counts
+``n_chars`` anew), whatever their names.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,9 +31,10 @@ IP = re.compile(rb"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(rb"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 
-# Candidate generators: loose on purpose, the trees decide.
+# Candidate generators: loose on purpose, the trees decide. Bounds are those of the formats: five groups of digits in a
+# phone number, 34 characters in an account number, eight groups in an address, nineteen digits in a card number.
 GENERATORS = (
-    ("email", b"@([{<", re.compile(rb"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+\x20?(?:@|\(at\)|\[at\]|\{at\}|<at>)\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\.|\(dot\)|\[dot\]|\{dot\}|<dot>)\x20?[A-Za-z0-9-]{1,63}+){1,6}")),
+    ("email", b"@([{<", re.compile(rb"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\]|\{at\}|<at>)\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\]|\{dot\}|<dot>)\x20?[A-Za-z0-9-]++)++")),
     ("phone", b"", re.compile(rb"(?<![0-9])(?:00|\()?[0-9]{2,5}+\)?(?:[\x20./-]{1,2}[0-9]{2,5}+){1,4}(?![0-9])")),
     ("identity", b"-", re.compile(rb"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     ("account", b"", re.compile(rb"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
@@ -59,10 +64,6 @@ def luhn(digits: bytes) -> bool:
     return total % 10 == 0
 
 
-def digits_of(b: bytes) -> bytes:
-    return b.translate(None, b" ().-/_+")
-
-
 def base_spans(raw: bytes) -> list[tuple]:
     """The four fixed patterns, by kind, then start."""
     out = []
@@ -76,7 +77,7 @@ def base_spans(raw: bytes) -> list[tuple]:
             out.append(("email", start, m.end(), True, 1.0))
             last = m.end()
         at = raw.find(b"@", max(at + 1, last))
-    out += [("ip", m.start(), m.end(), True, 1.0) for m in IP.finditer(raw) if all(len(p.lstrip(b"0")) <= 3 and int(p) <= 255 for p in m[0].split(b"."))]
+    out += [("ip", m.start(), m.end(), True, 1.0) for m in IP.finditer(raw) if all(len(d := p.lstrip(b"0")) <= 3 and int(d or b"0") <= 255 for p in m[0].split(b"."))]
     for m in CARD.finditer(raw):
         if m.end() - m.start() >= 13:
             d = m[0].translate(None, b" -")
@@ -251,29 +252,24 @@ def spans_of(text: str, model=None) -> list[tuple]:
     raw = text.encode("ascii", "replace")  # one byte for each code point; '?' is in no pattern
     out = base_spans(raw)
     found = candidates(raw)
-    if found:
+    if found and out:
         taken = sorted((s[1], s[2]) for s in out)
-        starts = [t[0] for t in taken]
-        found = [c for c in found if free(c[1], c[2], taken, starts)]
+        starts, ends = [t[0] for t in taken], list(accumulate((t[1] for t in taken), max))
+        found = [c for c in found if not (k := bisect_left(starts, c[2])) or ends[k - 1] <= c[1]]
     if found:
         trees, fit, cuts = model or trained()
         p = 1 / (1 + np.exp(-(fit[0] * trees.score(np.array([features(raw, *c) for c in found], float)) + fit[1])))
         best = sorted((-round(float(v), 9), c[1], c[2], c[0]) for v, c in zip(p, found, strict=True) if v >= cuts[KINDS.index(c[0])])
-        used: list[tuple[int, int]] = []
+        starts, ends = [], []
         for v, start, end, kind in best:
-            k = int(np.searchsorted([u[0] for u in used], start)) if used else 0
-            if (k == 0 or used[k - 1][1] <= start) and (k == len(used) or used[k][0] >= end):
-                used.insert(k, (start, end))
+            k = bisect_left(starts, start)
+            if (k == 0 or ends[k - 1] <= start) and (k == len(starts) or starts[k] >= end):
+                starts.insert(k, start)
+                ends.insert(k, end)
                 out.append((kind, start, end, False, -v))
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
-def free(start: int, end: int, taken: list[tuple[int, int]], starts: list[int]) -> bool:
-    """Whether nothing taken overlaps; base spans of two kinds may overlap, so the two before are looked at as well."""
-    k = bisect_left(starts, end)
-    return all(taken[i][1] <= start for i in range(max(0, k - 4), k))
-
-
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ``spans`` of every text, one narrow pass without a shuffle; the model is fitted once on the driver."""
     model = trained()

@@ -6,7 +6,9 @@ the moments of the rates between its groups. A host is blocked where the lower b
 DataFrame operations only; a host, domain or suffix is one row in every join, so a hot one only lengthens the other side.
 
 Defined cases: a url that is null or has no ``://`` has an empty host and path and takes the verdict of the empty host;
-without any labelled outcome the overall rate is 0 and everything without a rule is allowed; repeated rows stay.
+without any labelled outcome the overall rate is 0 and everything without a rule is allowed; of rules that fit the longest
+wins; urls of any length are read whole; repeated rows stay; an empty table gives no rows; other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Suffixes of two labels under which names are registered.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "com.br", "com.mx", "com.ar", "co.in", "co.kr", "com.cn", "com.tr", "co.za", "com.sg")
@@ -79,7 +83,8 @@ def strength(level: DataFrame, key: str, least: float = 1.0, most: float = 1000.
 def reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     """host, n, bad, rate and the posterior's bounds; outcomes: host, bad (1, 0 or null where not labelled)."""
     domain, suffix = domain_and_suffix(F.col("host"))
-    hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).withColumns({"domain": domain, "suffix": suffix})
+    # one row for each host, stored: the pages are read once for all levels
+    hosts = checkpoint(outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).withColumns({"domain": domain, "suffix": suffix}))
     overall, s_suffix = strength(hosts, "suffix")
     s_domain, s_host = strength(hosts, "domain")[1], strength(hosts, "host")[1]
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("bad").alias("dbad"))

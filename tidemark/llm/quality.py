@@ -9,7 +9,9 @@ the smallest hashes of their ids. Everything else runs over whole texts of all r
 
 Defined cases: null and empty texts have no features and get the grade of the bias alone, they are kept unless that falls
 below the cut; repeated rows are scored each for itself; labels without a document or grade are ignored; of contradicting
-labels of a document the lowest grade holds; with one grade or none to learn from, every document is kept with tail 1.
+labels of a document the lowest grade holds; with one grade or none to learn from, every document is kept with tail 1; texts
+are read whole, whatever their length; an empty table gives no rows; other columns are not read (``select`` returns them as
+they are), whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ AGAIN = 1  # the feature of words that repeat the word before
 def word_features(w: bytes) -> tuple[int, int]:
     """Numbers of a word as such, folded and without its edges, and of its form."""
     mask = (1 << BITS) - 1
-    return crc32(w.lower().strip(EDGE)) & mask, crc32(RUNS.sub(rb"\1", w[:64].translate(FORM)), 7) & mask
+    return crc32(w.lower().strip(EDGE)) & mask, crc32(RUNS.sub(rb"\1", w.translate(FORM)), 7) & mask
 
 
 def hashed(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -169,10 +171,21 @@ def score(docs: DataFrame, model: Ordinal | None, least: int = 2, cut: float = 0
     return two_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, expected_grade double, tail double, keep boolean")
 
 
-def select(docs: DataFrame, ratings: DataFrame, least: int = 2, cut: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, that are good enough; a rejected doc_id goes, rows without one stay."""
-    gone = score(docs, fit(docs, ratings), least, cut).filter("not keep and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def select(docs: DataFrame, ratings: DataFrame, least: int = 2, cut: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that are good enough, each judged by its own text: a narrow pass."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, ratings, id_col=id_col, text_col=text_col))  # 2^BITS weights
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        own = sent.value
+        for b in batches:
+            if own is not None and b.num_rows:
+                step = max(1, int(b.num_rows * (8 << 20) / max(1, b.nbytes)))
+                texts = (t for k in range(0, b.num_rows, step) for t in b.column(at).slice(k, step).to_pylist())
+                b = b.filter(pa.array(own.tails(np.array([own.score(*hashed(t)) for t in texts]))[:, least - 1] >= cut))
+            yield b
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def rounded(c: str) -> Column:

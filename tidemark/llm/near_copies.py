@@ -1,8 +1,11 @@
-"""Near copies: documents whose sets of word shingles have a Jaccard similarity of at least ``LEAST``.
+"""Near copies: documents whose sets of word shingles have a Jaccard similarity of at least ``LEAST``, one of each group kept.
 
-Candidates share a band of min-hashes: ``BANDS`` bands of ``DEEP`` hashes miss a pair at similarity 0.8 with a chance of
-(1 - 0.8^5)^30 = 7e-6, closer pairs more rarely. Every candidate is then verified on the texts: the similarity of the two
-sets of shingles (held as 64-bit hashes) is counted exactly. Equal sets are grouped first and are one node.
+A node is a distinct set of shingles, named by a 64-bit hash of the set. Its SimHash fingerprint goes through the Golay
+keys of ``simhash`` first: nodes of a component there are held against its smallest node, and those similar enough are one
+from then on. Two bits reach close copies only (a pair at similarity 0.8 differs in about ten of 64 bits, too many for a
+code that corrects three of 23 and keeps keys selective), so wider pairs come from bands of min-hashes: ``BANDS`` bands
+of ``DEEP`` hashes miss a pair at similarity 0.8 with a chance of (1 - 0.8^5)^30 = 7e-6, closer ones more rarely. Every pair
+is verified on the texts: the similarity of the two sets (held as 64-bit hashes) is counted exactly.
 
 A band shared by at most ``CROWD`` nodes is expanded into pairs. In a larger one each node is first held against one centre,
 the node that shares most. Nodes of bands that still hold several components are then compared across components where they
@@ -10,23 +13,27 @@ share one of their rarest shingles (an exact prefix filter). So no component is
 text costs a comparison a member instead of its square, and documents with a common passage only aren't compared.
 
 Defined cases: as in ``simhash``, words are split at ASCII white space and ASCII letters become lower case; texts without
-words are copies of each other; a text of fewer words than a shingle is one shingle; rows without a doc_id stay.
+words are copies of each other; a text of fewer words than a shingle is one shingle; texts are read whole; a row without
+a doc_id counts as the greatest; rows that repeat a doc_id are judged each by its text (known by a 64-bit hash), of rows
+that are the same in both one stays; an empty table stays empty; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, each_text, rows, stored, two_columns
-from .simhash import components, first_of_each
+from .common import batches_of, checkpoint, rows, stored
+from .simhash import components, links
 
 LEAST, SHINGLE, CROWD = 0.8, 5, 8
+LAST = (1 << 63) - 1
 BANDS, DEEP = 30, 5
 AT_ONCE, BUCKETS = 1 << 11, 1 << 18
 _RNG = np.random.default_rng(7)
@@ -66,25 +73,47 @@ def bands(found: np.ndarray) -> np.ndarray:
     return (key ^ key >> np.uint64(32)).view(np.int64)
 
 
-def prints(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, digest of the set of shingles, its size and keys of each row; a narrow pass over whole texts."""
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("size", pa.int32()), ("keys", pa.list_(pa.int64()))])
+def fingerprint(found: np.ndarray) -> int:
+    """SimHash of a set of shingles, as a signed 64-bit number; zero for an empty set."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(found), AT_ONCE):
+        total += np.unpackbits(found[at : at + AT_ONCE].view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(found)).tobytes(), "big", signed=True)
+
+
+def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Column]:
+    """What a row is known by: its doc_id, the greatest number where it has none, and a hash of its text."""
+    return F.coalesce(df[id_col].cast("long"), F.lit(LAST)), F.xxhash64(df[text_col].cast("string"))
+
+
+def parts(batches, most: int = 4 << 20):
+    """Slices of batches with at most ``most`` bytes, one row at least."""
+    for b in batches:
+        step = max(1, int(b.num_rows * most / max(1, b.nbytes)))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
+def prints(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """rid, th, node (hash of the set of shingles), its size, fingerprint and keys of each row; a narrow pass over whole texts."""
+    schema = pa.schema([("rid", pa.int64()), ("th", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
-        for ids, texts in each_text(batches):
-            digests, sizes, keys = [], [], []
-            for t in texts:
+        for b in parts(batches):
+            nodes, sizes, fps, keys = [], [], [], []
+            for t in b.column(2).to_pylist():
                 found = shingles(t, shingle)
-                digests.append(xxhash.xxh3_128_digest(found.tobytes()))
+                nodes.append(int.from_bytes(xxhash.xxh3_64_digest(found.tobytes()), "big", signed=True))
                 sizes.append(len(found))
+                fps.append(fingerprint(found))
                 keys.append(bands(found))
-            yield rows(schema, ids, digests, sizes, keys)
+            yield rows(schema, b.column(0), b.column(1), nodes, sizes, fps, keys)
 
-    return df.mapInArrow(run, "doc_id long, digest binary, size int, keys array<long>")
+    return texts.mapInArrow(run, "rid long, th long, node long, size int, fp long, keys array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST, shingle: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts are similar enough."""
+    """The pairs (a, b) of nodes whose texts are similar enough; texts: node, text."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
@@ -92,18 +121,19 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST, shingle:
         for batch in batches:
             good = []
             for a, b, text, other in zip(*(batch.column(k) for k in range(4)), strict=True):
-                text = text.as_py()
-                if own is None or text != last:
-                    last, own = text, shingles(text, shingle)
+                a = a.as_py()
+                if own is None or a != last:
+                    last, own = a, shingles(text.as_py(), shingle)
                 if similarity(own, shingles(other.as_py(), shingle)) >= least:
-                    good.append((a.as_py(), b.as_py()))
+                    good.append((a, b.as_py()))
             if good:
                 yield rows(schema, *map(list, zip(*good, strict=True)))
 
-    used = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    some = stored(texts.join(used, "doc_id", "left_semi"), "texts")
-    one, two = some.select(F.col("doc_id").alias("a"), "text"), some.select(F.col("doc_id").alias("b"), F.col("text").alias("other"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "text", "other").mapInArrow(run, "a long, b long").distinct()
+    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    some = stored(texts.join(used, "node", "left_semi"), "texts")
+    one, two = some.select(F.col("node").alias("a"), "text"), some.select(F.col("node").alias("b"), F.col("text").alias("other"))
+    with batches_of(texts.sparkSession, 500):
+        return checkpoint(pairs.join(two, "b").join(one, "a").select("a", "b", "text", "other").mapInArrow(run, "a long, b long").distinct())
 
 
 def rare(texts: DataFrame, apart: DataFrame, least: float, shingle: int) -> DataFrame:
@@ -112,12 +142,12 @@ def rare(texts: DataFrame, apart: DataFrame, least: float, shingle: int) -> Data
     Of n shingles at least ``least`` of n are shared, so the first n - least n + 1 in any common order hold a shared one.
     """
     spark = texts.sparkSession
-    some = stored(texts.join(apart.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "apart")
+    some = stored(texts.join(apart.select("node").distinct(), "node", "left_semi"), "apart")
 
     def counted(batches):
         total = np.zeros(BUCKETS, np.int64)
-        for _, got in each_text(batches):
-            found = np.concatenate([shingles(t, shingle) for t in got])
+        for b in parts(batches):
+            found = np.concatenate([shingles(t, shingle) for t in b.column(1).to_pylist()])
             total += np.bincount((found % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
@@ -129,9 +159,9 @@ def rare(texts: DataFrame, apart: DataFrame, least: float, shingle: int) -> Data
     schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("at", pa.int32())])
 
     def first(batches):
-        for ids, got in each_text(batches):
+        for b in parts(batches):
             keys, owner, at = [np.zeros(0, np.int64)], [], []
-            for i, t in zip(ids, got, strict=True):
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = shingles(t, shingle)
                 order = np.lexsort((found, sent.value[(found % np.uint64(BUCKETS)).astype(np.int64)]))
                 keys.append(found[order[: len(found) - math.ceil(least * len(found) - 1e-9) + 1]].view(np.int64))
@@ -155,40 +185,66 @@ def across(held: DataFrame, least: float) -> DataFrame:
     return outside.join(against, "key").filter("own != other_own").filter(alike).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, shingle: int = SHINGLE, crowd: int = CROWD) -> DataFrame:
-    """doc_id and component_id of each row: the smallest doc_id that links of similar documents reach."""
-    texts = two_columns(df, id_col, text_col)
-    found = stored(prints(texts, shingle), "prints")
-    groups = checkpoint(found.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
-    nodes = found.join(groups.filter("node is not null").select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["digest", "doc_id"])
-    keyed = stored(nodes.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"), "size").distinct(), "keys")
-    sizes = checkpoint(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+def grouped(df: DataFrame, id_col: str, text_col: str, least: float, shingle: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """The stored prints (rid, th, node) of all rows, and the component of each node that has links."""
+    rid, th = row_key(df, id_col, text_col)
+    texts = df.select(rid.alias("rid"), th.alias("th"), df[text_col].cast("string").alias("text"))
+    found = stored(prints(texts.select("rid", "th", "text"), shingle), "prints")
+    first = found.groupBy("node").agg(F.min(F.struct("rid", "th")).alias("r")).select("node", "r.rid", "r.th")
+    nodes = stored(found.join(first, ["node", "rid", "th"]).dropDuplicates(["node"]), "nodes")
+    whole = texts.join(nodes.select("node", "rid", "th"), ["rid", "th"]).select("node", "text").dropDuplicates(["node"])
+
+    same = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    equal = nodes.join(same.withColumnRenamed("node", "a"), "fp").filter("node != a").select("a", F.col("node").alias("b"))
+    close = components(checkpoint(links(same.select("node", "fp")).unionByName(equal)))
+    held = verified(checkpoint(close.select(F.col("component").alias("a"), F.col("node").alias("b"))), whole, least, shingle)
+
+    named = nodes.join(held.select(F.col("b").alias("node"), F.col("a").alias("own")), "node", "left").select("keys", "node", "size", F.coalesce("own", "node").alias("own"))
+    keyed = stored(named.select(F.explode("keys").alias("key"), "node", "size", "own").distinct(), "keys")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("own").alias("low"), F.max("own").alias("high"))
+    sizes = checkpoint(sizes.filter("low != high").select("key", "n"))
     alike = F.least("size", "other_size") >= least * F.greatest("size", "other_size") - 1e-6
     ordered = (F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
     few = keyed.join(sizes.filter(F.col("n") <= crowd).select("key"), "key")
-    other = few.select("key", F.col("node").alias("other"), F.col("size").alias("other_size"))
-    pairs = few.join(other, "key").filter(F.col("node") < F.col("other")).filter(alike).select(*ordered)
+    other = few.select("key", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("own").alias("other_own"))
+    pairs = few.join(other, "key").filter("node < other and own != other_own").filter(alike).select(*ordered)
 
     many = stored(keyed.join(sizes.filter(F.col("n") > crowd), "key"), "crowded")
     weights = many.groupBy("node").agg(F.sum("n").alias("weight"))
-    best = F.max(F.struct("weight", (-F.col("node")).alias("node"), "size"))
-    centres = checkpoint(many.join(weights, "node").groupBy("key").agg(best.alias("m")).select("key", (-F.col("m.node")).alias("other"), F.col("m.size").alias("other_size")))
-    stars = many.join(centres, "key").filter("node != other").filter(alike).select(*ordered)
-    links = checkpoint(verified(checkpoint(pairs.unionByName(stars).distinct()), texts, least, shingle))
-    reached = components(links)
+    best = F.max(F.struct("weight", "node", "size", "own"))
+    centres = checkpoint(many.join(weights, "node").groupBy("key").agg(best.alias("m")).select("key", F.col("m.node").alias("other"), F.col("m.size").alias("other_size"), F.col("m.own").alias("other_own")))
+    stars = many.join(centres, "key").filter("own != other_own").filter(alike).select(*ordered)
+    wide = checkpoint(verified(checkpoint(pairs.unionByName(stars).distinct()), whole, least, shingle).unionByName(held))
+    reached = components(wide)
 
-    called = many.join(reached, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("own"))
+    called = many.drop("own").join(reached, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("own"))
     mixed = called.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low != high").select("key")
     apart = checkpoint(called.join(mixed, "key").select("node", "size", "own").distinct())
     if not apart.isEmpty():
-        rest = checkpoint(across(rare(texts, apart, least, shingle), least))
-        reached = components(links.unionByName(verified(rest, texts, least, shingle)))
-
-    shared = groups.join(reached, "node", "left").filter("n > 1 or component is not null").select("digest", F.coalesce("component", "node").alias("shared"))
-    return found.select("doc_id", "digest").join(shared, "digest", "left").select("doc_id", F.coalesce("shared", "doc_id").alias("component_id"))
+        rest = checkpoint(across(rare(whole, apart, least, shingle), least))
+        reached = components(checkpoint(wide.unionByName(verified(rest, whole, least, shingle))))
+    return found.select("rid", "th", "node"), reached
 
 
-def drop_near_copies(docs: DataFrame, least: float = LEAST, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is the smallest of its component; of repeated rows one."""
-    return first_of_each(docs, near_copies(docs, least=least, shingle=shingle))
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, shingle: int = SHINGLE, crowd: int = CROWD) -> DataFrame:
+    """doc_id and component_id of each row: the smallest doc_id that links of similar documents reach."""
+    found, reached = grouped(df, id_col, text_col, least, shingle, crowd)
+    lowest = found.groupBy("node").agg(F.min("rid").alias("least")).join(reached, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    named = lowest.join(lowest.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
+    known = lambda c: F.when(F.col(c) != LAST, F.col(c))
+    return found.join(named, "node").select(known("rid").alias("doc_id"), known("component_id").alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs, all columns, that come first in their component by doc_id; of repeated rows one."""
+    found, reached = grouped(docs, id_col, text_col, least, shingle, CROWD)
+    first = found.groupBy("node").agg(F.min(F.struct("rid", "th")).alias("r")).join(reached, "node", "left")
+    kept = first.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("r").alias("r")).select("r.rid", "r.th")
+    often = found.groupBy("rid", "th").count().filter("count > 1").select("rid", "th", F.lit(True).alias("often"))
+    a, b, c = (f"_{n}_{uuid.uuid4().hex}" for n in ("rid", "th", "often"))  # names that no column of docs has
+    kept = checkpoint(kept.join(often, ["rid", "th"], "left").select(F.col("rid").alias(a), F.col("th").alias(b), F.coalesce("often", F.lit(False)).alias(c)))
+    rid, th = row_key(docs, id_col, text_col)
+    chosen = docs.join(kept, (rid == kept[a]) & (th == kept[b]))
+    once = chosen.filter(~F.col(c)).unionByName(chosen.filter(F.col(c)).dropDuplicates([a, b]))
+    return once.select(*docs.columns)

@@ -4,18 +4,19 @@ A fingerprint of 64 bits is cut into three segments. Two fingerprints that diffe
 segment (pigeonhole) and differ by at most two bits in the segment after it. The perfect Golay code (23, 12) maps that
 segment to the indices of the codewords near it: the nearest codeword of the segment and of everything one bit away.
 Segments within two bits of each other share a point one bit from both, so they share an index. A key is the number and
-bits of the whole segment with one such index: about 16 keys for a fingerprint. Fingerprints that share a key are joined
-and verified. Copies are grouped first: a fingerprint is one node, named by its smallest doc_id, however often it occurs.
+bits of the whole segment with one such index: about 16 keys for a fingerprint and segment. Equal fingerprints are one
+node, however often they occur.
 
-A key shared by more than ``CROWD`` fingerprints isn't expanded into pairs. Its fingerprints are joined through the 65
-points within one bit of each instead: fingerprints within two bits share such a point, those that share one are within
-two bits, and a point has at most 65 fingerprints, so linking each to the smallest there loses no link of components.
+Fingerprints that share a key with another are joined and verified without listing pairs, whatever a key's size: each is
+joined through the 65 points within one bit of it. Fingerprints within two bits share such a point, those that share one
+are within two bits, and a point has at most 65 fingerprints, so linking each to the smallest there loses no link.
 
 Components come from alternating large and small stars over the links, each round cut by a checkpoint.
 
 Defined cases: null and empty texts have no words and the fingerprint zero, linked like any other; a text of fewer words
-than a shingle is one shingle; rows that repeat a doc_id share its component; a null doc_id takes the smallest doc_id of
-its component, or null if there is none.
+than a shingle is one shingle; texts are hashed whole, in pieces of bounded memory; rows that repeat a doc_id are judged
+each by its text; a component without any doc_id has a null one; an empty table gives no rows; other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, each_text, rows, stored, two_columns
 
-CROWD = 8
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # shift and width
 GENERATOR = 0b110001110101  # of the Golay code (23, 12)
 AT_ONCE = 1 << 14
@@ -124,20 +124,15 @@ def with_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "fp").mapInArrow(run, "key long, node long, fp long")
 
 
-def links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
+def links(nodes: DataFrame) -> DataFrame:
     """Links (a, b) of nodes whose fingerprints differ in at most two bits; enough of them to hold every component."""
     keyed = with_keys(nodes)
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    some = keyed.join(sizes.filter(F.col("n") <= crowd).select("key"), "key")
-    other = some.select("key", F.col("node").alias("other"), F.col("fp").alias("other_fp"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))) <= 2
-    pairs = some.join(other, "key").filter((F.col("node") < F.col("other")) & near).select(F.col("node").alias("a"), F.col("other").alias("b"))
-    crowded = keyed.join(sizes.filter(F.col("n") > crowd).select("key"), "key", "left_semi").select("node", "fp").distinct()
+    company = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    near = keyed.join(company, "key", "left_semi").select("node", "fp").distinct()
     around = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << k) - (1 << 64 if k == 63 else 0)).cast("long")) for k in range(64)])
-    points = crowded.select("node", F.explode(around).alias("point"))
-    centres = points.groupBy("point").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").select("point", "a")
-    stars = points.join(centres, "point").filter("node != a").select("a", F.col("node").alias("b"))
-    return pairs.unionByName(stars).distinct()
+    points = near.select("node", F.explode(around).alias("point"))
+    met = points.groupBy("point").agg(F.array_sort(F.collect_list("node")).alias("nodes")).filter(F.size("nodes") > 1)  # 65 at most
+    return met.select(F.col("nodes")[0].alias("a"), F.explode(F.slice("nodes", 2, 64)).alias("b")).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -161,24 +156,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """doc_id, fp and component_id of each row: the smallest doc_id that links of at most two bits reach."""
     prints = stored(fingerprints(df, id_col, text_col, shingle), "fingerprints")
-    groups = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
-    found = components(links(groups.filter("node is not null")))
-    shared = groups.join(found, "node", "left").filter("n > 1 or component is not null").select("fp", F.coalesce("component", "node").alias("shared"))
-    return prints.join(shared, "fp", "left").select("doc_id", "fp", F.coalesce("shared", "doc_id").alias("component_id"))
-
-
-def drop_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is the smallest of its component; of repeated rows one."""
-    return first_of_each(docs, near_duplicates(docs, shingle=shingle))
-
-
-def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the component_id that ``found`` gives it; of repeated rows one."""
-    gone = found.filter("doc_id != component_id").select("doc_id").distinct()
-    again = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    once = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    groups = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    found = components(links(groups.select(F.col("fp").alias("node"), "fp"))).withColumnRenamed("node", "fp")
+    linked = found.unionByName(found.select(F.col("component").alias("fp"), "component").distinct())
+    named = groups.join(linked, "fp").groupBy("component").agg(F.min("least").alias("shared"))
+    alone = groups.filter("n > 1").join(linked, "fp", "left_anti").select("fp", F.col("least").alias("shared"))
+    shared = linked.join(named, "component").select("fp", "shared").unionByName(alone).withColumn("many", F.lit(True))
+    return prints.join(shared, "fp", "left").select("doc_id", "fp", F.when(F.col("many"), F.col("shared")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

@@ -9,12 +9,16 @@ list has as well, until all terms are confirmed. Terms are compared as bytes, no
 Test items are taken in blocks of bounded size; a block's windows are broadcast, and each block reads the index again.
 
 Defined cases: null text has no words; an item of fewer words than a window is one window, one without words is none;
-matches never cross documents; repeated document rows are judged each for itself; a null item_id hits but isn't listed.
+matches never cross documents; repeated document rows are judged each for itself; a null item_id hits but isn't listed;
+texts are read whole, whatever their length; without documents there are no rows, without test items no hits; other columns
+are not read (``drop_contaminated`` returns them as they are), whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -90,16 +94,18 @@ def phrase(lists: list[np.ndarray], places: list[int]) -> np.ndarray:
     return at
 
 
-def proximity(lists: list[np.ndarray], slop: int) -> list[tuple[int, int]]:
-    """Spans around each position of the rarest term in which every other term is at most ``slop`` words away."""
+def proximity(lists: list[np.ndarray], slop: int, starts: np.ndarray) -> list[tuple[int, int]]:
+    """Spans around each position of the rarest term in which every other term is at most ``slop`` words away, in the same
+    document; ``starts`` are those of the segment's documents."""
     at = low = high = lists[0]
     for other in lists[1:]:
         if not at.size:
             break
-        after = np.minimum(np.searchsorted(other, at), len(other) - 1)
-        before = np.maximum(after - 1, 0)
-        near = np.where(np.abs(other[before] - at) <= np.abs(other[after] - at), other[before], other[after])
-        ok = np.abs(near - at) <= slop
+        doc = np.searchsorted(starts, at, side="right")
+        k = np.searchsorted(other, at)
+        after, before = np.minimum(k, len(other) - 1), np.maximum(k - 1, 0)
+        far = [np.where(np.searchsorted(starts, other[x], side="right") == doc, np.abs(other[x] - at), slop + 1) for x in (before, after)]
+        near, ok = np.where(far[0] <= far[1], other[before], other[after]), np.minimum(*far) <= slop
         low, high, at = np.minimum(low, near)[ok], np.maximum(high, near)[ok], at[ok]
     return list(zip(low.tolist(), (high + 1).tolist(), strict=True))
 
@@ -133,7 +139,7 @@ def find(row: dict, block: Block, slop: int | None = None) -> list[tuple[int, in
                 at = phrase([posting(own[k, i]) for i in order], order)
                 spans = [(s, s + n) for s in at.tolist()]
             else:
-                spans = proximity([posting(own[k, i]) for i in order], slop)
+                spans = proximity([posting(own[k, i]) for i in order], slop, starts)
             out += [(s, e, block.items[n][k]) for s, e in spans if s >= 0 and np.searchsorted(starts, s, side="right") == np.searchsorted(starts, e - 1, side="right")]
     return out
 
@@ -148,7 +154,7 @@ def blocks(items: DataFrame, id_col: str, text_col: str, window: int):
 
 def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, slop: int | None = None) -> DataFrame:
     """A row for each document (segment, place) with matches: its items, and spans of words, start and exclusive end."""
-    sc, out = index.sparkSession.sparkContext, None
+    sc, out = index.sparkSession.sparkContext, []
     hits_schema = pa.schema([("segment", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
     for block in blocks(items, id_col, text_col, window):
         terms = sc.broadcast(block.terms)
@@ -186,9 +192,11 @@ def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col
                         columns = [[r["segment"]] * len(by), places, [r["doc_ids"][p] for p in places], [sorted(by[p][0]) for p in places], [[{"start": s, "end": e} for s, e in merged(by[p][1])] for p in places]]
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, hits_schema, strict=True)], schema=hits_schema)
 
-        got = index.select("segment", "doc_ids", "lengths", "terms", "counts", "positions").mapInArrow(matched, HITS)
-        out = got if out is None else stored(out, "hits").unionByName(got)
-    return out.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+        # each block's hits are written once
+        out.append(stored(index.select("segment", "doc_ids", "lengths", "terms", "counts", "positions").mapInArrow(matched, HITS), "hits"))
+        terms.unpersist()
+        sent.unpersist()
+    return reduce(DataFrame.unionByName, out).groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -216,10 +224,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, least
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that hold no window of a test item, whatever their length; rows without a doc_id stay."""
-    gone = contamination(docs, items).filter("n_hit > 0").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that hold no window of a test item, whatever their length; texts are known by a 64-bit
+    hash, so each row is judged by its own text, whatever its doc_id."""
+    name = f"_text_{uuid.uuid4().hex}"  # a name that no column of docs has
+    texts = docs.select(F.xxhash64(docs[text_col].cast("string")).alias("doc_id"), docs[text_col].alias("text"))
+    gone = search(build_index(texts), items).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.xxhash64(docs[text_col].cast("string")) == gone[name], "left_anti")
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -2,29 +2,30 @@
 
 A text, lower-cased, gives its byte n-grams (3 and 4 bytes, word ends included); each is hashed to a row of an embedding
 table, a text's vector is the mean of its rows, and a linear softmax names the language. Tables and softmax are trained
-together by stochastic gradient descent in numpy on short windows of a bounded sample (``per_lang`` documents of each
-language, chosen by a hash of their id). Temperature scaling on windows set aside calibrates the score; a prediction whose
-score is under the threshold that keeps 99 % of the right ones there is marked as rejected.
+together by stochastic gradient descent in numpy on short windows of a bounded sample: of the ``most`` commonest languages
+the ``per_lang`` texts with the smallest hashes. Temperature scaling on documents set aside calibrates the score; a
+prediction whose score is under the threshold that keeps 99 % of the right ones there is marked as rejected.
 
 As the softmax is linear, tables and weights are multiplied once, and a prediction sums rows of logits: whole texts, in
 blocks of bounded memory.
 
-Defined cases: a text that is null or has no letter gives ``und`` with score 0; without any labelled document every
-prediction is ``und``; repeated rows each get their own prediction.
+Defined cases: a text that is null or has no letter (of Unicode's categories L) gives ``und`` with score 0; without any
+labelled document every prediction is ``und``; of languages that score alike the first by name is taken; repeated rows each
+get their own prediction; a null doc_id is not held out; an empty table gives no rows; other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import each_text, rows, two_columns
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 BITS = 14
 SIZES = (3, 4)
 #: ASCII other than letters becomes a blank.
@@ -119,13 +120,18 @@ class Model:
         return total / np.maximum(1, count)[:, None] + self.bias
 
 
-def train(windows: list[tuple[str, bytes]], width: int = 16, epochs: int = 6, rate: float = 0.5, batch: int = 64, seed: int = 11) -> Model:
-    langs = sorted({lang for lang, _ in windows})
+def train(windows: list[tuple[str, int, bytes]], width: int = 16, epochs: int = 6, rate: float = 0.5, batch: int = 64, seed: int = 11) -> Model:
+    """Learn from windows (language, document, bytes); those of a fifth of the documents only calibrate."""
+    langs = sorted({w[0] for w in windows})
     if not langs:
         return Model([], np.zeros((0, 0)), np.zeros(0), 1.0, 0.0)
     r = np.random.default_rng(seed)
-    order = r.permutation(len(windows))
-    held, used = order[: len(order) // 5], order[len(order) // 5 :]
+    docs, of = np.unique([w[1] for w in windows], return_inverse=True)
+    aside = np.isin(of, r.permutation(len(docs))[: len(docs) // 5])
+    if aside.all() or len({w[0] for w, a in zip(windows, aside, strict=True) if not a}) < len(langs):
+        aside[:] = False
+    held, used = np.flatnonzero(aside), r.permutation(np.flatnonzero(~aside))
+    windows = [(w[0], w[2]) for w in windows]
     y = np.array([langs.index(lang) for lang, _ in windows])
     ids = [all_rows(data) for _, data in windows]
     table = r.normal(0, 0.1, (len(SIZES) << BITS, width)).astype(np.float32)
@@ -168,21 +174,30 @@ def cut_windows(text: str, most: int = 6, words: int = 24) -> list[bytes]:
     return [text_bytes(" ".join(split[s : s + words])) for s in starts]
 
 
-def fit(docs: DataFrame, per_lang: int = 400, most: int = 20_000) -> Model:
-    """Train on at most ``per_lang`` documents of a language and ``most`` in all; docs: doc_id, text, lang."""
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang").withColumn("k", F.row_number().over(by)).filter(F.col("k") <= per_lang).select("doc_id").distinct().limit(most)
-    sample = docs.filter(F.col("lang").isNotNull()).join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "lang", "text")
+def fit(docs: DataFrame, per_lang: int = 400, most: int = 200) -> Model:
+    """Train on at most ``per_lang`` texts of each of the ``most`` commonest languages; docs: text, lang.
+
+    A language's texts are taken below a bound on their hashes, set from its count so that half as many again as wanted are
+    expected; copies of a text count once. So no task gathers a language.
+    """
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()
+    if not counts:
+        return train([])
+    bounds = docs.sparkSession.createDataFrame([(r["lang"], min((1 << 63) - 1, (1 << 63) * 3 * per_lang // (2 * r["n"]))) for r in counts], "lang string, bound long")
+    near = known.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 1)).join(F.broadcast(bounds), "lang").filter("h <= bound")
+    sample = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def run(batches):
         for b in batches:
-            for doc, lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if text and LETTER.search(text):
+            for lang, h, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if LETTER.search(text):
                     got = cut_windows(text)
-                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(got), pa.int64()), pa.array([lang] * len(got), pa.string()), pa.array(got, pa.binary())], ["doc_id", "lang", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(got), pa.string()), pa.array([h] * len(got), pa.int64()), pa.array(got, pa.binary())], ["lang", "h", "data"])
 
-    got = sample.mapInArrow(run, "doc_id long, lang string, data binary").collect()
-    return train([(r["lang"], bytes(r["data"])) for r in sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"], r["data"]))])
+    got = sample.select("lang", "h", "text").mapInArrow(run, "lang string, h long, data binary").collect()
+    first = {(lang, h) for lang in {r["lang"] for r in got} for h in sorted({r["h"] for r in got if r["lang"] == lang})[:per_lang]}
+    return train(sorted((r["lang"], r["h"], bytes(r["data"])) for r in got if (r["lang"], r["h"]) in first))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,6 +219,6 @@ def fold(doc_id) -> F.Column:
 
 def op9_language(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    model = fit(docs.filter(F.coalesce(fold(F.col("doc_id")) != 2, F.lit(False))))
-    out = predict(docs, model)
-    return out.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    held = F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False))
+    out = predict(docs, fit(docs.filter(F.coalesce(fold(F.col("doc_id")) != 2, F.lit(False)))))
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")

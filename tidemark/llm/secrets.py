@@ -1,10 +1,13 @@
 """Secret scan with structural confirmation.
 
 Patterns give the base spans. Beyond them, every base64 or hex candidate is decoded and its content parsed: a signed
-token must have a JSON header that names an algorithm, a key must be a DER structure whose nested lengths add up or
-carry the framing of a known key format. Only candidates whose structure is confirmed are reported.
+token must have a JSON header that names an algorithm, a key must be a DER structure whose nested lengths add up and whose
+elements are those of a private key, or carry the framing of a private key file. Only candidates whose structure is confirmed
+are reported; public keys and certificates are not secrets.
 
-Defined cases: a null or empty text has no spans; repeated rows each get their own result; positions are code points.
+Defined cases: a null or empty text has no spans; texts are read whole, whatever their length; repeated rows each get their
+own result; spans that begin together are ordered by kind as listed, then end; positions are code points; an empty table
+gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,51 +32,73 @@ RUN = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+=*+(?:\.[A-Za-z0-9_
 #: What maps a byte of a run to x, so that a long run is found by a plain search.
 MARK = bytes(120 if chr(c) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-" else 32 for c in range(256))
 HEXMARK = bytes(120 if chr(c) in "0123456789abcdef" else 32 for c in range(256))
-PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]{0,40}+)-----((?:[A-Za-z0-9+/=\s]|\\[nr]){16,}+)-----END \1-----")
+PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*+)-----((?:[A-Za-z0-9+/=\s]|\\[nr]){16,}+)-----END \1-----")
 #: Where a structure may begin within a run that is glued to something else.
 INNER = re.compile(rb"(?<=/)|(?=eyJ|MII)")
 MAGIC = b"openssh-key-v1\0"
-SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-")
+#: How often what a run decodes to may be encoded again.
+LAYERS = 2
 
 
-def der_end(data: bytes, at: int = 0, depth: int = 0) -> int:
-    """The end of the DER element at ``at`` if its length and those of all it nests fit, else -1."""
-    if at + 2 > len(data) or depth > 12:
-        return -1
+def der(data: bytes, at: int, end: int) -> tuple[int, int] | None:
+    """Where the content of the DER element at ``at`` begins and ends, if it lies before ``end``."""
+    if at + 2 > end:
+        return None
     tag, size, at = data[at], data[at + 1], at + 2
     if size & 0x80:
         n = size & 0x7F
-        if not 1 <= n <= 4 or at + n > len(data) or data[at] == 0:
-            return -1
+        if not 1 <= n <= 4 or at + n > end or data[at] == 0:
+            return None
         size, at = int.from_bytes(data[at : at + n], "big"), at + n
         if size < 0x80:
-            return -1
-    end = at + size
-    if end > len(data) or tag & 0x1F in (0, 0x1F) and not tag & 0xC0:
-        return -1
-    if tag & 0x20:
+            return None
+    if at + size > end or tag & 0x1F in (0, 0x1F) and not tag & 0xC0:
+        return None
+    return at, at + size
+
+
+def elements(data: bytes) -> list[tuple[int, int, int]] | None:
+    """Tag, begin and end of what the one SEQUENCE that fills ``data`` holds, if all nested lengths add up."""
+    whole = der(data, 0, len(data)) if data[:1] == b"\x30" else None
+    if whole is None or whole[1] != len(data):
+        return None
+    found, open_ = [], [whole]
+    while open_:
+        at, end = open_.pop()
         while at < end:
-            at = der_end(data[:end], at, depth + 1)
-            if at < 0:
-                return -1
-    return end
+            inner = der(data, at, end)
+            if inner is None:
+                return None
+            if data[at] & 0x20:
+                open_.append(inner)
+            at = inner[1]
+    at = whole[0]
+    while at < whole[1]:
+        inner = der(data, at, whole[1])
+        found.append((data[at], *inner))
+        at = inner[1]
+    return found
 
 
 def key_der(data: bytes) -> bool:
-    """A SEQUENCE that fills the data, nests its lengths rightly and opens with a number or another SEQUENCE."""
-    if len(data) < 16 or data[0] != 0x30 or der_end(data) != len(data):
+    """The elements of a private key: a version of 0 or 1 before two others or more, or an algorithm and an encrypted key."""
+    found = elements(data) if len(data) >= 16 else None
+    if not found:
         return False
-    inner = 2 + (data[1] & 0x7F if data[1] & 0x80 else 0)
-    return data[inner] in (0x02, 0x30)
+    tag, at, end = found[0]
+    if tag == 0x02 and end - at == 1 and data[at] in (0, 1):
+        return len(found) >= 3 or len(found) == 2 and found[1][0] == 0x04
+    return [f[0] for f in found] == [0x30, 0x04]
 
 
 def key_ssh(data: bytes) -> bool:
-    if data.startswith(MAGIC):
-        return True
-    if len(data) < 8:
+    """The framing of a private key file: its name, then the lengths of cipher, key derivation and options fit."""
+    if not data.startswith(MAGIC):
         return False
-    n = int.from_bytes(data[:4], "big")
-    return 7 <= n <= 40 and data[4 : 4 + n].startswith(SSH_NAMES) and int.from_bytes(data[4 + n : 8 + n], "big") <= len(data) - 8 - n
+    at = len(MAGIC)
+    for _ in range(3):
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at <= len(data)
 
 
 def base64_bytes(run: bytes) -> bytes | None:
@@ -99,7 +124,7 @@ def signed(run: bytes) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
 
-def structure(run: bytes, depth: int = 2) -> str | None:
+def structure(run: bytes, depth: int = LAYERS) -> str | None:
     """The kind of secret that a run decodes to, or None."""
     if signed(run):
         return "signed"
@@ -115,7 +140,7 @@ def structure(run: bytes, depth: int = 2) -> str | None:
             return "sshkey"
         if key_der(data):
             return "der"
-        if data.startswith(b"-----BEGIN ") and b"KEY-----" in data[:60]:
+        if data.startswith(b"-----BEGIN ") and b"PRIVATE KEY-----" in data:
             return "pem"
         if depth and data.isascii():
             if any(len(m[2]) >= 8 for m in ASSIGN.finditer(data)) or any(len(m[0]) >= 16 for m in ACCESS.finditer(data)):

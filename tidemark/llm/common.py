@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -79,6 +80,29 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_HOLDS: dict[str, Callable[[], None]] = {}
+_last: str | None = None
+
+
+def holds(operator: str, forget: Callable[[], None]) -> None:
+    """Register how a worker forgets what an operator keeps from task to task."""
+    _HOLDS[operator] = forget
+
+
+def settle(operator: str) -> None:
+    """When a task of an operator begins: what its worker holds of other operators goes back to the system."""
+    global _last
+    if _last not in (None, operator):
+        for name, forget in _HOLDS.items():
+            if name != operator:
+                forget()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+    _last = operator
+
+
 def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under fixed names, so that no other column of the input can clash."""
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))

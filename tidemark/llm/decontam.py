@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_text, stored, two_columns
+from .common import each_text, settle, stored, two_columns
 
 WINDOW = 13
 #: Characters of test items in a block.
@@ -45,6 +45,7 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("terms", pa.binary()), ("counts", pa.binary()), ("positions", pa.binary())])
 
     def run(batches):
+        settle("decontamination")
         for ids, texts in each_text(batches):
             code: dict[bytes, int] = {}
             codes, lengths = [], []

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, checkpoint, rows, stored
+from .common import batches_of, checkpoint, discard, free_shuffles, rows, settle, stored
 from .simhash import components, links
 
 LEAST, SHINGLE, CROWD = 0.8, 5, 8
@@ -99,6 +99,7 @@ def prints(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     schema = pa.schema([("rid", pa.int64()), ("th", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
+        settle("near copies")
         for b in parts(batches):
             nodes, sizes, fps, keys = [], [], [], []
             for t in b.column(2).to_pylist():
@@ -117,6 +118,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST, shingle:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
+        settle("near copies")
         last, own = None, None  # pairs come in the order of a
         for batch in batches:
             good = []
@@ -133,7 +135,10 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST, shingle:
     some = stored(texts.join(used, "node", "left_semi"), "texts")
     one, two = some.select(F.col("node").alias("a"), "text"), some.select(F.col("node").alias("b"), F.col("text").alias("other"))
     with batches_of(texts.sparkSession, 500):
-        return checkpoint(pairs.join(two, "b").join(one, "a").select("a", "b", "text", "other").mapInArrow(run, "a long, b long").distinct())
+        out = checkpoint(pairs.join(two, "b").join(one, "a").select("a", "b", "text", "other").mapInArrow(run, "a long, b long").distinct())
+    discard(texts.sparkSession, some)
+    free_shuffles(texts.sparkSession)
+    return out
 
 
 def rare(texts: DataFrame, apart: DataFrame, least: float, shingle: int) -> DataFrame:
@@ -169,7 +174,9 @@ def rare(texts: DataFrame, apart: DataFrame, least: float, shingle: int) -> Data
                 at += range(len(keys[-1]))
             yield rows(schema, pa.array(np.concatenate(keys)), owner, at)
 
-    return stored(some.mapInArrow(first, "key long, node long, at int").join(apart, "node").select("key", "node", "at", "size", "own"), "rare")
+    out = stored(some.mapInArrow(first, "key long, node long, at int").join(apart, "node").select("key", "node", "at", "size", "own"), "rare")
+    discard(spark, some)
+    return out
 
 
 def across(held: DataFrame, least: float) -> DataFrame:
@@ -222,8 +229,11 @@ def grouped(df: DataFrame, id_col: str, text_col: str, least: float, shingle: in
     mixed = called.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low != high").select("key")
     apart = checkpoint(called.join(mixed, "key").select("node", "size", "own").distinct())
     if not apart.isEmpty():
-        rest = checkpoint(across(rare(whole, apart, least, shingle), least))
+        held = rare(whole, apart, least, shingle)
+        rest = checkpoint(across(held, least))
+        discard(df.sparkSession, held)
         reached = components(checkpoint(wide.unionByName(verified(rest, whole, least, shingle))))
+    discard(df.sparkSession, nodes, keyed, many)
     return found.select("rid", "th", "node"), reached
 
 

@@ -28,14 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import each_text, rows, stored, two_columns
+from .common import each_text, holds, rows, settle, stored, two_columns
 
 SIZE = 2048
 END = 1
 #: Bytes of text that are tokenized at once; the library keeps about a hundred bytes for each of their tokens.
 AT_ONCE = 1 << 20
 #: Tokens of words that a worker remembers in each of two halves; the older half goes when the newer is full.
-HELD = 1 << 17
+HELD = 1 << 19
 MARK = "|"
 
 
@@ -108,6 +108,7 @@ def encoder(path: str | None = None, held: int = HELD) -> Callable[[list[str]],
     return run
 
 
+holds("packing", encoder.cache_clear)
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, rank long"
 
 
@@ -117,6 +118,7 @@ def pieces(df: DataFrame, size: int = SIZE, path: str | None = None, with_ids: b
     schema = pa.schema(fields + ([("ids", pa.list_(pa.int32()))] if with_ids else []))
 
     def run(batches):
+        settle("packing")
         encode, part, seen = encoder(path), TaskContext.get().partitionId(), [0] * (size + 1)
         for docs, texts in each_text(batches, AT_ONCE):
             out = [[] for _ in schema]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_text, rows, two_columns
+from .common import each_text, holds, rows, settle, two_columns
 
 BITS = 22
 #: Labelled rows of each grade that are learned from, and rows that must share a feature for it to count.
@@ -45,6 +45,9 @@ def word_features(w: bytes) -> tuple[int, int]:
     return crc32(w.lower().strip(EDGE)) & mask, crc32(RUNS.sub(rb"\1", w.translate(FORM)), 7) & mask
 
 
+holds("quality", word_features.cache_clear)
+
+
 def hashed(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers and weights of a whole text: words count by presence, forms and repeats by their share."""
     words = text.encode("utf-8", "replace").split() if text else []
@@ -139,6 +142,7 @@ def fit(docs: DataFrame, ratings: DataFrame, most: int = MOST, id_col: str = "do
     schema = pa.schema([("grade", pa.int64()), ("index", pa.list_(pa.int32())), ("value", pa.list_(pa.float32()))])
 
     def run(batches):
+        settle("quality")
         for ids, some in each_text(batches):
             got = [hashed(t) for t in some]
             yield rows(schema, ids, [g[0] for g in got], [g[1] for g in got])
@@ -159,6 +163,7 @@ def score(docs: DataFrame, model: Ordinal | None, least: int = 2, cut: float = 0
     schema = pa.schema([("doc_id", pa.int64()), ("expected_grade", pa.float64()), ("tail", pa.float64()), ("keep", pa.bool_())])
 
     def run(batches):
+        settle("quality")
         own = sent.value
         for ids, texts in each_text(batches):
             if own is None:
@@ -177,6 +182,7 @@ def select(docs: DataFrame, ratings: DataFrame, least: int = 2, cut: float = 0.5
     at = docs.columns.index(text_col)
 
     def run(batches):
+        settle("quality")
         own = sent.value
         for b in batches:
             if own is not None and b.num_rows:

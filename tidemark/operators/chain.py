@@ -8,9 +8,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.time import micros
+from .rows import previous
+
 
 @dataclass(frozen=True)
 class Item:
@@ -38,22 +41,33 @@ def parse_rule(text: str) -> Rule:
     return Rule(targets, tuple(items))
 
 
-def changed_if(field: str, other: str, window) -> Column:
+def changed_if(field: str, other: str, before: Column) -> Column:
     """``field`` where it differs from the row before (or there is none), else ``other``."""
-    same = F.col(field).eqNullSafe(F.lag(field).over(window)) & F.lag(F.lit(1)).over(window).isNotNull()
+    same = before.isNotNull() & F.col(field).eqNullSafe(before.getField(field))
     return F.when(same, F.col(other)).otherwise(F.col(field))
 
 
-def project(source: DataFrame, rule: Rule, columns: list[str], order: list[str]) -> DataFrame:
-    """obj, ts and the target's columns, one for each item; names ignore case."""
+def project(source: DataFrame, rule: Rule, columns: list[str], order: list[str], block: Column | None = None, last: DataFrame | None = None) -> DataFrame:
+    """obj, ts and the target's columns, one for each item; names ignore case.
+
+    The row before is found inside blocks of the order (``block``, by default of its first column, a time counted in days).
+    ``last``: an object's last row from earlier batches, with the columns of source.
+    """
     if len(columns) != len(rule.items):
         raise ValueError(f"{len(rule.items)} items for {len(columns)} columns")
     names = {c.lower(): c for c in source.columns}
     if missing := [f for i in rule.items for f in (i.field, i.other) if f and f.lower() not in names]:
         raise ValueError(f"unknown fields {missing}")
-    window = Window.partitionBy("obj").orderBy(*order)
-    own = lambda i: F.col(names[i.field.lower()]) if i.other is None else changed_if(names[i.field.lower()], names[i.other.lower()], window)
+    if block is None:
+        block = F.floor(micros(order[0]) / 86_400_000_000) if source.schema[order[0]].dataType.simpleString().startswith("timestamp") else None
+    watched = sorted({names[i.field.lower()] for i in rule.items if i.other})
     kept = [c for c in order if c not in ("obj", "ts")]
+    if watched:
+        every = source.withColumn("_new", F.lit(True))
+        if last is not None:
+            every = every.unionByName(last.select(*source.columns, F.lit(False).alias("_new")))
+        source = previous(every, watched, order, block).filter("_new")
+    own = lambda i: F.col(names[i.field.lower()]) if i.other is None else changed_if(names[i.field.lower()], names[i.other.lower()], F.col("_previous"))
     return source.select("obj", "ts", *kept, *[own(i).alias(f"_{k}") for k, i in enumerate(rule.items)]).withColumnsRenamed({f"_{k}": c for k, c in enumerate(columns)})
 
 

@@ -20,39 +20,39 @@ def _renamed(left: DataFrame, right: DataFrame, suffix: str) -> DataFrame:
     return right.select("obj", "ts", *[F.col(c).alias(f"{c}{suffix}" if c in clash else c) for c in right.columns if c not in ("obj", "ts")])
 
 
-def _carry(both: DataFrame, forward: bool, block_s: int) -> DataFrame:
-    """For left rows the nearest right struct before (or after). Sorted inside blocks of time; a block takes over the last
-    struct of the blocks before it, so an object with very many rows spreads over tasks."""
-    at = F.floor(micros("ts") / (block_s * 1_000_000))
-    both = both.withColumn("_block", at if not forward else -at)
-    key = F.struct(micros("ts") * (-1 if forward else 1), F.col("_tie") * (-1 if forward else 1))
-    ends = both.groupBy("obj", "_block").agg(F.max_by("_right", F.when(F.col("_right").isNotNull(), key)).alias("_end"))
-    over = Window.partitionBy("obj").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select("obj", "_block", F.last("_end", ignorenulls=True).over(over).alias("_before"))
-    inside = Window.partitionBy("obj", "_block").orderBy(key.getField("col1"), "_left", key.getField("col2")).rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("_here", F.last("_right", ignorenulls=True).over(inside)).filter("_left = 1").join(ends, ["obj", "_block"])
-    return out.withColumn("_found", F.coalesce("_here", "_before"))
-
-
 def asof(left: DataFrame, right: DataFrame, method: str = "backward", suffix: str = "_right", tie: str | None = None, block_s: int = BLOCK_S) -> DataFrame:
     """Every left row with the right row of its object last at or before (first at or after, nearest) its time.
 
     Of right rows of one time, ``tie`` decides: backward takes the greatest, forward the smallest; nearest prefers the
-    earlier of two as far away.
+    earlier of two as far away. A left row without an object or a time has no partner and stays.
+
+    Both sides are laid together once and sorted inside blocks of time; a block takes over the last right row of the blocks
+    before it (the first of those after), so an object with very many rows spreads over tasks.
     """
     right = _renamed(left, right, suffix)
     extra = [c for c in right.columns if c not in ("obj", "ts")]
-    rows = right.select("obj", "ts", F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_row"), F.struct("ts", *extra).alias("_right"), F.lit(0).alias("_left"), (F.col(tie) if tie else F.lit(0)).cast("double").alias("_tie"))
+    row = left.select(F.struct(*left.columns)).schema[0].dataType
+    rows = right.filter("obj is not null and ts is not null").select("obj", "ts", F.lit(None).cast(row).alias("_row"), F.struct("ts", *extra).alias("_right"), F.lit(0).alias("_left"), (F.col(tie) if tie else F.lit(0)).cast("double").alias("_tie"))
     own = left.select("obj", "ts", F.struct(*left.columns).alias("_row"), F.lit(None).cast(rows.schema["_right"].dataType).alias("_right"), F.lit(1).alias("_left"), F.lit(0.0).alias("_tie"))
-    both = own.unionByName(rows)
-    if method != "nearest":
-        found = _carry(both, method == "forward", block_s)
+    both = own.unionByName(rows).withColumn("_us", micros("ts")).withColumn("_block", F.floor(F.col("_us") / (block_s * 1_000_000)))
+    key, back, ahead = F.when(F.col("_left") == 0, F.struct("_us", "_tie")), method in ("backward", "nearest"), method in ("forward", "nearest")
+    ends = both.filter("_us is not null and obj is not null").groupBy("obj", "_block").agg(F.max_by("_right", key).alias("_last"), F.min_by("_right", key).alias("_first"))
+    before = Window.partitionBy("obj").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("obj").orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col("obj").alias("_obj"), F.col("_block").alias("_of"), *([F.last("_last", True).over(before).alias("_before")] if back else []), *([F.last("_first", True).over(after).alias("_after")] if ahead else []))
+    inside = Window.partitionBy("obj", "_block")
+    if back:
+        both = both.withColumn("_back", F.last("_right", True).over(inside.orderBy("_us", "_left", "_tie").rowsBetween(Window.unboundedPreceding, 0)))
+    if ahead:
+        both = both.withColumn("_ahead", F.last("_right", True).over(inside.orderBy(F.desc("_us"), "_left", F.desc("_tie")).rowsBetween(Window.unboundedPreceding, 0)))
+    out = both.filter("_left = 1").join(carried, F.col("obj").eqNullSafe(F.col("_obj")) & F.col("_block").eqNullSafe(F.col("_of")), "left")
+    out = out.withColumn("_back", F.coalesce("_back", "_before")) if back else out
+    out = out.withColumn("_ahead", F.coalesce("_ahead", "_after")) if ahead else out
+    if method == "nearest":
+        near = F.when(F.col("_back").isNull() | (micros("_ahead.ts") - F.col("_us") < F.col("_us") - micros("_back.ts")), F.col("_ahead")).otherwise(F.col("_back"))
     else:
-        back = _carry(both, False, block_s).select("obj", "ts", "_row", F.col("_found").alias("_back"))
-        ahead = _carry(both, True, block_s).groupBy("obj", "ts").agg(F.first("_found").alias("_ahead"))
-        found = back.join(ahead, ["obj", "ts"])
-        before, after = micros("ts") - micros("_back.ts"), micros("_ahead.ts") - micros("ts")
-        found = found.withColumn("_found", F.when(F.col("_back").isNull() | (after < before), F.col("_ahead")).otherwise(F.col("_back")))
+        near = F.col("_back" if back else "_ahead")
+    found = out.withColumn("_found", F.when(F.col("obj").isNotNull() & F.col("ts").isNotNull(), near))
     return found.select("_row.*", *[F.col("_found").getField(c).alias(c) for c in extra])
 
 
@@ -82,13 +82,16 @@ def load(tables: dict[str, DataFrame], methods: str | dict[str, str] = "nan", st
     return reduce(lambda a, nd: join(a, nd[1], how.get(nd[0], how.get("*", "nan")), f"_{nd[0]}"), frames[1:], base)
 
 
-def align(df: DataFrame, base: str, method: str = "nan", tie: str | None = None) -> DataFrame:
-    """Every object at the times of the base object; ``pos`` orders the panel, base first, then objects by name.
+def align(df: DataFrame, base: str | DataFrame, method: str = "nan", tie: str | None = None, parts: int = 32) -> DataFrame:
+    """Every object at the times of the base object (a name, or one row with ``obj``); ``pos`` orders the panel, base first,
+    then objects by name.
 
-    The grid is the result itself: one row for each object and base time.
+    The grid is the result itself: one row for each object and base time. Times are dealt into ``parts`` that every object
+    asks for, so the grid is made by an ordinary join and nothing is held in one place.
     """
-    times = df.filter(F.col("obj") == base).select("ts").distinct()
-    objs = df.select("obj").distinct().groupBy().agg(F.array_sort(F.collect_set("obj")).alias("objs"))
-    grid = times.join(F.broadcast(objs)).select("ts", F.explode("objs").alias("obj"))
-    out = join(grid.select("obj", "ts"), df, method, tie=tie)
-    return out.withColumn("pos", F.when(F.col("obj") == base, 0).otherwise(1))
+    base = df.sparkSession.createDataFrame([(base,)], "obj string") if isinstance(base, str) else base.select("obj")
+    times = df.join(F.broadcast(base), "obj", "left_semi").select("ts").distinct().withColumn("_part", F.pmod(F.xxhash64("ts"), F.lit(parts)))  # base is one row
+    objs = df.select("obj").distinct().withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    out = join(objs.join(times, "_part").select("obj", "ts"), df, method, tie=tie)
+    first = base.select(F.col("obj").alias("_obj"), F.lit(0).alias("_pos"))
+    return out.join(F.broadcast(first), F.col("obj") == F.col("_obj"), "left").select(*out.columns, F.coalesce("_pos", F.lit(1)).alias("pos"))

@@ -17,14 +17,15 @@ BLOCK = 1 << 16
 
 
 def drop_late(df: DataFrame, bucket: str = "bucket", seq: str = "seq", block: int = BLOCK) -> DataFrame:
-    """Rows whose bucket is at least the greatest that came before. The running maximum is taken inside blocks of arrival
-    numbers and carried over from the blocks before, so an object with very many rows spreads over tasks."""
-    blocked = df.withColumn("_block", F.floor(F.col(seq) / block))
+    """Rows whose bucket is at least the greatest that came before; a row without an arrival number came last, one without a
+    bucket goes. The running maximum is taken inside blocks of arrival numbers and carried over from the blocks before, so an
+    object with very many rows spreads over tasks."""
+    blocked = df.filter(F.col(bucket).isNotNull()).withColumn("_block", F.coalesce(F.floor(F.col(seq) / block), F.lit((1 << 63) - 1)))
     tops = blocked.groupBy("obj", "_block").agg(F.max(bucket).alias("_top"))
     before = Window.partitionBy("obj").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = tops.select("obj", "_block", F.max("_top").over(before).alias("_carried"))
-    inside = Window.partitionBy("obj", "_block").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    known = blocked.withColumn("_top", F.max(bucket).over(inside)).join(carried, ["obj", "_block"])
+    carried = tops.select(F.col("obj").alias("_obj"), F.col("_block").alias("_of"), F.max("_top").over(before).alias("_carried"))
+    inside = Window.partitionBy("obj", "_block").orderBy(F.asc_nulls_last(seq)).rowsBetween(Window.unboundedPreceding, -1)
+    known = blocked.withColumn("_top", F.max(bucket).over(inside)).join(carried, F.col("obj").eqNullSafe(F.col("_obj")) & (F.col("_block") == F.col("_of")))
     limit = F.greatest("_top", "_carried")  # skips nulls
     return known.filter(limit.isNull() | (F.col(bucket) >= limit)).select(*df.columns)
 

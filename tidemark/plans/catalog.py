@@ -1,6 +1,13 @@
-"""A catalog of series and key-value tables, kept as Parquet with a JSON schema beside it, and its statements.
+"""A catalog of series and key-value tables, kept as Parquet with a JSON description beside it, and its statements.
 
-Statements: CREATE TABLE, DROP TABLE, COMMENT ON, INSERT ... VALUES, SELECT, DELETE, DESC, .tables; several by ``;``.
+Statements: CREATE TABLE, DROP TABLE, COMMENT ON, INSERT ... VALUES, COPY, SELECT, DELETE, DESC, .tables; several by ``;``.
+
+A table's description names the folders that hold it and has a version; a write makes new folders and then the description's
+next version, so a reader sees the table before or after a write, a crash leaves the old version, and of two writers of one
+version the second fails. A table with ``round`` is rolled up as rows come in: buckets that newer ones have closed are stored
+as they are read, rows of each object's newest bucket stay raw in a small folder, late rows are dropped. A table with
+``chan`` hands each new row on to its targets, changed values against the object's row before, and so on along the chain.
+Folders are ranged and sorted by object and time, so bounds on them prune files and row groups.
 """
 
 from __future__ import annotations
@@ -8,14 +15,16 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.time import parse_datetime, parse_unit
+from ..functions.casts import parsed
+from ..functions.time import parse_datetime, parse_unit, round_ts
 from ..functions.values import matches_any
-from ..operators import kv
+from ..operators import chain, kv
 from ..operators.rollup import rollup
 from ..operators.scan import list_objects, ordered, scan
 from ..operators.sets import without
@@ -69,6 +78,21 @@ class Tokens:
             raise StatementError(f"unexpected {self.all[self.k][1]!r}")
 
 
+#: What a caller may do, and what each statement needs; an admin may do everything.
+READ, WRITE, ADMIN = 1, 2, 7
+NEEDS = {"SELECT": READ, "DESC": READ, "DESCRIBE": READ, ".TABLES": READ, "INSERT": WRITE, "COPY": WRITE, "DELETE": 4, "CREATE": 4, "DROP": 4, "COMMENT": 4}
+
+
+def kind_of(text: str) -> str:
+    """The kind of a statement, by its first word."""
+    m = re.match(r"\s*(\.tables|\\dt|\w+)", text, re.I)
+    word = m[1].upper() if m else ""
+    word = ".TABLES" if word == "\\DT" else word
+    if word not in NEEDS:
+        raise StatementError(f"unknown statement {word or text[:20]!r}")
+    return word
+
+
 class Catalog:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -80,10 +104,17 @@ class Catalog:
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def _metas(self) -> list[dict]:
+        """The newest description of every table."""
         fs, path = self._path("schema")
         if not fs.exists(path):
             return []
-        return sorted((json.loads(r["value"]) for r in self.spark.read.text(f"{self.root}/schema").collect()), key=lambda m: m["name"])
+        files = self.spark.read.text(f"{self.root}/schema", recursiveFileLookup=True, wholetext=True)
+        newest: dict[str, dict] = {}
+        for r in files.collect():
+            m = json.loads(r["value"])
+            if m["version"] >= newest.get(m["name"], {"version": -1})["version"]:
+                newest[m["name"]] = m
+        return sorted((m for m in newest.values() if not m.get("dropped")), key=lambda m: m["name"])
 
     def meta(self, name: str) -> dict:
         for m in self._metas():
@@ -92,18 +123,26 @@ class Catalog:
         raise StatementError(f"no table {name!r}")
 
     def _keep(self, meta: dict) -> None:
-        fs, path = self._path("schema", f"{meta['name']}.json")
-        out = fs.create(path, True)
+        """Write the next version; it fails if another writer was faster."""
+        meta = meta | {"version": meta["version"] + 1}
+        fs, path = self._path("schema", meta["name"], f"{meta['version']:012d}.json")
+        fs.mkdirs(path.getParent())
+        out = fs.create(path, False)
         out.write(bytearray(json.dumps(meta).encode()))
         out.close()
+        old = self._path("schema", meta["name"], f"{meta['version'] - 3:012d}.json")[1]
+        if fs.exists(old):
+            fs.delete(old, False)
 
     def schema(self, meta: dict) -> T.StructType:
         lead = [] if meta["kv"] else [T.StructField("obj", T.StringType())]
-        return T.StructType([*lead, *T.StructType.fromJson({"type": "struct", "fields": meta["fields"]}).fields, T.StructField("seq", T.LongType())])
+        arrival = [T.StructField("_batch", T.LongType()), T.StructField("_seq", T.LongType())]
+        return T.StructType([*lead, *T.StructType.fromJson({"type": "struct", "fields": meta["fields"]}).fields, *arrival])
 
     def create(self, name: str, fields: list[tuple[str, str, dict]], options: dict) -> None:
         """Make a table; one that exists stays as it is."""
-        if any(m["name"] == name for m in self._metas()):
+        known = {m["name"]: m for m in self._metas()}
+        if name in known:
             return
         is_kv = str(options.get("engine", "")).lower() == "kv"
         if is_kv and (len(fields) != 2 or any(k not in ("string", "binary") for _, k, _ in fields)):
@@ -114,70 +153,170 @@ class Catalog:
             parse_unit(options["round"])
         if "chunkSize" in options and float(options["chunkSize"]) < 1:
             raise StatementError("chunkSize must be positive")
+        if options.get("chan"):
+            rule = chain.parse_rule(options["chan"])
+            if missing := [t for t in rule.targets if t not in known]:
+                raise StatementError(f"chain targets {missing} don't exist")
+            shapes = [[(f["name"], f["type"]) for f in known[t]["fields"]] for t in rule.targets]
+            if any(x != shapes[0] for x in shapes) or len(rule.items) != len(shapes[0]) - 1:
+                raise StatementError("chain targets need one shape and a column for each item")
+            chain.cascade_order({m["name"]: chain.parse_rule(m["options"]["chan"]) for m in known.values() if m["options"].get("chan")} | {name: rule})
         kinds = T.StructType.fromDDL(", ".join(f"`{n}` {k}" for n, k, _ in fields))
-        self._keep({"name": name, "kv": is_kv, "options": options, "fields": [f.jsonValue() | {"metadata": m} for f, (_, _, m) in zip(kinds, fields, strict=True)]})
+        fs, path = self._path("schema", name)
+        last = max((int(f.getPath().getName().split(".")[0]) for f in fs.listStatus(path)), default=0) if fs.exists(path) else 0
+        self._keep({"name": name, "version": last, "kv": is_kv, "options": options, "fields": [f.jsonValue() | {"metadata": m} for f, (_, _, m) in zip(kinds, fields, strict=True)], "parts": [], "open": None, "last": None})
 
     def drop(self, name: str) -> None:
-        self.meta(name)
-        for parts in (("data", name), ("schema", f"{name}.json")):
-            fs, path = self._path(*parts)
-            fs.delete(path, True)
+        m = self.meta(name)
+        self._keep(m | {"dropped": True, "parts": [], "open": None, "last": None})
+        fs, path = self._path("data", name)
+        fs.delete(path, True)
 
     def describe(self, name: str) -> DataFrame:
         m = self.meta(name)
         rows = [(f["name"], T.StructType.fromJson({"type": "struct", "fields": [f]})[0].dataType.simpleString(), f["metadata"].get("agg"), f["metadata"].get("desc")) for f in m["fields"]]
         return self.spark.createDataFrame(rows, "name string, type string, agg string, desc string")
 
-    def tables(self) -> DataFrame:
-        return self.spark.createDataFrame([(m["name"], json.dumps(m["fields"])) for m in self._metas()], "name string, schema string")
+    def tables(self, pattern: str = "") -> DataFrame:
+        rows = [(m["name"], json.dumps(m["fields"])) for m in self._metas()]
+        return self.spark.createDataFrame(rows, "name string, schema string").filter(matches_any("name", pattern)).orderBy("name")
+
+    def _read(self, meta: dict, folders: list[str], schema: T.StructType | None = None) -> DataFrame:
+        schema = schema or self.schema(meta)
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/data/{f}" for f in folders]) if folders else self.spark.createDataFrame([], schema)
+
+    def _write(self, meta: dict, rows: DataFrame) -> str:
+        """Rows in a new folder, ranged and sorted by object and time, ``chunkSize`` rows to a file from a thousand chunks on."""
+        folder = f"{meta['name']}/{meta['version'] + 1:012d}-{uuid.uuid4().hex[:8]}"
+        if not meta["kv"]:
+            ts = meta["fields"][0]["name"]
+            rows = rows.repartitionByRange("obj", ts).sortWithinPartitions("obj", ts)
+        most = int(float(meta["options"].get("chunkSize", 200)) * 1000)
+        rows.write.option("maxRecordsPerFile", most).parquet(f"{self.root}/data/{folder}")
+        return folder
 
     def raw(self, name: str) -> DataFrame:
-        """All rows as they came in, with their arrival number."""
+        """Rows as they are kept: of a table with ``round`` the closed buckets."""
         m = self.meta(name)
-        fs, path = self._path("data", name)
-        return self.spark.read.schema(self.schema(m)).parquet(f"{self.root}/data/{name}") if fs.exists(path) else self.spark.createDataFrame([], self.schema(m))
+        return self._read(m, m["parts"])
+
+    def _aggs(self, meta: dict) -> dict[str, str]:
+        return {f["name"]: f["metadata"].get("agg", "latest") for f in meta["fields"][1:]}
 
-    def table(self, name: str) -> DataFrame:
-        """Rows as queries see them: rolled up by the table's ``round``, or the last write of each key."""
-        m, raw = self.meta(name), self.raw(name)
+    def _rolled(self, meta: dict, rows: DataFrame) -> DataFrame:
+        """Rows of one or more buckets as the table shows them."""
+        ts, whole = meta["fields"][0]["name"], self.schema(meta)
+        got = rollup(rows.withColumn("_at", F.struct("_batch", "_seq")).withColumnRenamed(ts, "ts"), meta["options"]["round"], self._aggs(meta), seq="_at")
+        kinds = {f.name: f.dataType for f in whole}
+        return got.withColumnRenamed("ts", ts).select(*[F.col(f.name).cast(kinds[f.name]).alias(f.name) if f.name not in ("_batch", "_seq") else F.lit(None).cast("long").alias(f.name) for f in whole])
+
+    def table(self, name: str, where=lambda df: df) -> DataFrame:
+        """Rows as queries see them: rolled up by the table's ``round``, or the last write of each key; ``where`` goes to the
+        stored rows, where it can prune, and to the open buckets."""
+        m = self.meta(name)
+        stored = self._read(m, m["parts"])
         if m["kv"]:
             key, value = (f["name"] for f in m["fields"])
-            return kv.current(raw.select(F.col(key).alias("key"), F.col(value).alias("value"), "seq")).withColumnsRenamed({"key": key, "value": value})
-        if not m["options"].get("round"):
-            return raw.drop("seq")
-        ts, *others = m["fields"]
-        return rollup(raw.withColumnRenamed(ts["name"], "ts"), m["options"]["round"], {f["name"]: f["metadata"].get("agg", "latest") for f in others}, m["options"].get("late", "drop"))
+            last = kv.current(stored.select(F.col(key).alias("key"), F.col(value).alias("value"), F.struct("_batch", "_seq").alias("seq")))
+            return where(last.withColumnsRenamed({"key": key, "value": value}))
+        got = where(stored)
+        if m["options"].get("round") and m["open"]:
+            got = got.unionByName(where(self._rolled(m, self._read(m, [m["open"]]))))
+        return got.drop("_batch", "_seq")
 
     def append(self, name: str, rows: DataFrame) -> None:
-        """Add rows; their arrival numbers follow those there."""
+        """Add rows, which arrive in the order they are in. Chains end where they began: targets are written in turn."""
         m = self.meta(name)
-        last = self.raw(name).agg(F.max("seq")).first()[0]
-        seq = F.monotonically_increasing_id() + F.lit(0 if last is None else last + 1)
-        shown = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema(m) if f.name != "seq"]
-        rows.select(*shown, seq.alias("seq")).write.mode("append").parquet(f"{self.root}/data/{name}")
-
-    def replace(self, name: str, rows: DataFrame) -> None:
-        """Write the new rows beside the old ones, then put them in their place."""
-        fresh = f"fresh-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.root}/{fresh}")
-        fs, old = self._path("data", name)
-        fs.delete(old, True)
-        fs.mkdirs(old.getParent())
-        fs.rename(self._path(fresh)[1], old)
+        whole, ts = self.schema(m), m["fields"][0]["name"]
+        shown = [F.col(f.name).cast(f.dataType).alias(f.name) for f in whole if f.name not in ("_batch", "_seq")]
+        new = rows.select(*shown, F.lit(m["version"] + 1).cast("long").alias("_batch"), F.monotonically_increasing_id().alias("_seq"))
+        if m["kv"]:
+            return self._keep(m | {"parts": [*m["parts"], self._write(m, new)]})
+        fresh = self._write(m, new)  # once: what follows reads it several times
+        new, added = self._read(m, [fresh]), None
+        if not m["options"].get("round"):
+            after = m | {"parts": [*m["parts"], fresh]}
+            added = new
+        else:
+            bucket = round_ts(ts, m["options"]["round"], int(m["options"].get("tz", 0)))
+            open_ = self._read(m, [m["open"]] if m["open"] else []).withColumn("_bucket", bucket)
+            newest = open_.groupBy("obj").agg(F.max("_bucket").alias("_open")).withColumnRenamed("obj", "_obj")
+            kept = new.withColumn("_bucket", bucket).join(newest, F.col("obj").eqNullSafe(F.col("_obj")), "left").filter(F.col("_open").isNull() | (F.col("_bucket") >= F.col("_open")))
+            every = open_.unionByName(kept.select(*open_.columns))
+            top = every.groupBy("obj").agg(F.max("_bucket").alias("_top")).withColumnRenamed("obj", "_obj")
+            every = every.join(top, F.col("obj").eqNullSafe(F.col("_obj")))
+            closed, still = every.filter("_bucket < _top").select(*whole.names), every.filter("_bucket = _top").select(*whole.names)
+            after = m | {"parts": [*m["parts"], self._write(m, self._rolled(m, closed))], "open": self._write(m, still)}
+            if m["options"].get("chan"):  # only rows that open a bucket are handed on
+                opening = kept.filter(F.col("_open").isNull() | (F.col("_bucket") > F.col("_open")))
+                first = opening.groupBy("obj", "_bucket").agg(F.min_by(F.struct(*whole.names), F.struct(ts, "_seq")).alias("r"))
+                added = first.select("r.*", "_bucket").withColumn(ts, F.col("_bucket")).select(*whole.names)
+        if m["options"].get("chan"):
+            rule = chain.parse_rule(m["options"]["chan"])
+            last = self._read(m, [m["last"]] if m["last"] else [])
+            named = lambda df: df.withColumnRenamed(ts, "ts")
+            targets = [self.meta(t) for t in rule.targets]
+            columns = [f["name"] for f in targets[0]["fields"][1:]]
+            passed = chain.project(named(added), rule, columns, ["ts", "_batch", "_seq"], last=named(last))
+            ends = last.unionByName(added).groupBy("obj").agg(F.max_by(F.struct(*whole.names), F.struct(ts, "_batch", "_seq")).alias("r")).select("r.*")
+            handed = self._write(m | {"name": f"{name}-chain"}, passed.withColumnRenamed("ts", ts))
+            after = after | {"last": self._write(m, ends)}
+        self._keep(after)
+        if m["options"].get("chan"):
+            kind = passed.withColumnRenamed("ts", ts).schema
+            for t in targets:
+                sent = self._read(m, [handed], kind).orderBy("obj", ts, "_batch", "_seq").withColumnRenamed(ts, t["fields"][0]["name"])
+                self.append(t["name"], sent)
+
+    def replace(self, name: str, parts: DataFrame, open_: DataFrame | None = None) -> None:
+        """The table's rows, and those of its open buckets, are these from now on."""
+        m = self.meta(name)
+        self._keep(m | {"parts": [self._write(m, parts)], "open": self._write(m, open_) if open_ is not None else None})
+
+    def compact(self, name: str) -> None:
+        """Many small folders become one."""
+        m = self.meta(name)
+        if len(m["parts"]) > 1:
+            self._keep(m | {"parts": [self._write(m, self._read(m, m["parts"]))]})
+
+    def set_option(self, name: str, key: str, value, column: str | None = None) -> None:
+        """Metadata of a table or a column."""
+        m = self.meta(name)
+        if column is None:
+            m["options"][key] = value
+        else:
+            found = [f for f in m["fields"] if f["name"].lower() == column.lower()]
+            if not found:
+                raise StatementError(f"no column {column!r} in {name!r}")
+            found[0]["metadata"][key] = value
+        self._keep(m)
 
     # statements -------------------------------------------------------------------------------------------------------
     def sql(self, text: str) -> list[DataFrame | None]:
         """Run statements one after another; queries give a DataFrame, the others None."""
-        parts = re.findall(r"(?:[^;']|'(?:[^']|'')*')+", text)
-        return [self.run(p) for p in parts if p.strip()]
-
-    def run(self, text: str) -> DataFrame | None:
-        if re.match(r"\s*(\.tables|\\dt)\b", text):
-            return self.tables()
+        out: list[DataFrame | None] = []
+        while text.strip():
+            if re.match(r"\s*COPY\b", text, re.I):  # its lines end at an empty one
+                part, _, text = text.partition("\n\n")
+            else:
+                part = re.match(r"(?:[^;']|'(?:[^']|'')*')*", text)[0]
+                text = text[len(part) + 1 :]
+            if part.strip():
+                out.append(self.run(part))
+        return out
+
+    def run(self, text: str, role: int = ADMIN) -> DataFrame | None:
+        """One statement; ``role`` is the sum of what the caller may do."""
+        word = kind_of(text)
+        if not role & NEEDS[word]:
+            raise PermissionError(f"{word} needs another role")
+        if word == ".TABLES":
+            rest = re.sub(r"^\s*(\.tables|\\dt)", "", text, flags=re.I).strip().rstrip(";").strip().strip("'\"")
+            return self.tables(rest)
+        if word == "COPY":
+            return self.copy(text)
         t = Tokens(text)
-        word = t.next("name").upper()
-        if word not in ("CREATE", "DROP", "DESC", "DESCRIBE", "INSERT", "SELECT", "DELETE", "COMMENT"):
-            raise StatementError(f"unknown statement {word}")
+        t.next("name")
         return getattr(self, f"_{ {'DESCRIBE': 'desc'}.get(word, word.lower()) }")(t)
 
     def _create(self, t: Tokens) -> None:
@@ -225,7 +364,9 @@ class Catalog:
         t.end()
 
     def _desc(self, t: Tokens) -> DataFrame:
-        return self.describe(t.next("name"))
+        name = t.next("name")
+        t.end()
+        return self.describe(name)
 
     def _comment(self, t: Tokens) -> None:
         t.need("ON")
@@ -235,21 +376,40 @@ class Catalog:
         name = t.next("name")
         t.need("IS")
         text = t.next("text")
+        t.end()
         name, _, field = name.partition(".")
-        m = self.meta(name)
-        if not column:
-            m["options"]["desc"] = text
-        else:
-            for f in m["fields"]:
-                if f["name"] == field:
-                    f["metadata"]["desc"] = text
-        self._keep(m)
+        self.set_option(name, "desc", text, field if column else None)
+
+    def copy(self, text: str) -> None:
+        """``COPY table [HEADER]`` and lines of CSV, object first; with HEADER the first line names the columns."""
+        from ..sources.files import parsed_lines, split_rejects
+
+        first, _, body = text.strip().partition("\n")
+        m = re.fullmatch(r"COPY\s+[`\"\[]?(\w+)[`\"\]]?(\s+(?:WITH\s+)?HEADER)?\s*;?", first.strip(), re.I)
+        if not m:
+            raise StatementError(f"not a COPY statement: {first!r}")
+        meta, lines = self.meta(m[1]), [x for x in body.splitlines() if x.strip()]
+        whole = [f for f in self.schema(meta) if f.name not in ("obj", "_batch", "_seq")]
+        if meta["kv"]:
+            raise StatementError("COPY is for series")
+        if m[2]:
+            known = {f.name.lower(): f for f in whole}
+            names = [x.strip().lower() for x in lines[0].split(",")] if lines else []
+            if names[:1] != ["obj"] or any(x not in known for x in names[1:]):
+                raise StatementError(f"header {names} doesn't fit {m[1]!r}")
+            whole, lines = [known[x] for x in names[1:]], lines[1:]
+        got = parsed_lines(self.spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1), T.StructType(whole))
+        good, bad = split_rejects(got)
+        if wrong := bad.limit(1).collect():
+            raise StatementError(f"not a row of {m[1]!r}: {wrong[0]['line']!r}")
+        missing = [f for f in self.schema(meta) if f.name not in (*good.columns, "_batch", "_seq")]
+        self.append(m[1], good.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing]))
 
     def _insert(self, t: Tokens) -> None:
         t.need("INTO")
         name = t.next("name")
         m = self.meta(name)
-        names = [f.name for f in self.schema(m) if f.name != "seq"]
+        names = [f.name for f in self.schema(m) if f.name not in ("_batch", "_seq")]
         if t.take("("):
             names = [t.next("name")]
             while t.take(","):
@@ -271,8 +431,13 @@ class Catalog:
         t.end()
         given = self.spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names)).coalesce(1)
         kinds = {f.name: f.dataType for f in self.schema(m)}
-        own = lambda n: F.lit(None).cast(kinds[n]) if n not in names else parse_datetime(n) if isinstance(kinds[n], T.TimestampNTZType) else F.col(n).cast(kinds[n])
-        self.append(name, given.select(*[own(n).alias(n) for n in kinds if n != "seq"]))
+        if unknown := [n for n in names if n not in kinds or n in ("_batch", "_seq")]:
+            raise StatementError(f"unknown columns {unknown}")
+        made = {n: F.lit(None).cast(kinds[n]) if n not in names else parsed(F.col(n), kinds[n]) for n in kinds if n not in ("_batch", "_seq")}
+        wrong = reduce(lambda a, b: a | b, [F.col(n).isNotNull() & (F.trim(n) != "") & made[n].isNull() for n in names])
+        if bad := given.filter(wrong).limit(1).collect():
+            raise StatementError(f"not a row of {name!r}: {tuple(bad[0])}")
+        self.append(name, given.select(*[c.alias(n) for n, c in made.items()]))
 
     def _where(self, t: Tokens, key: str) -> dict:
         """Conditions on obj (or the key) and ts; anything else is refused."""
@@ -307,14 +472,14 @@ class Catalog:
             if not t.take("AND"):
                 return got
 
-    def _filtered(self, df: DataFrame, where: dict, key: str, negate: bool = False) -> DataFrame:
+    def _filtered(self, df: DataFrame, where: dict, key: str, negate: bool = False, time: str = "ts") -> DataFrame:
         hit = F.lit(True)
         if where.get("obj"):
             hit &= matches_any(key, where["obj"])
         if where.get("not"):
             hit &= ~matches_any(key, where["not"])
         for sign, value in where.get("ts", ()):
-            at, ts = parse_datetime(F.lit(value)), F.col("ts")
+            at, ts = parse_datetime(F.lit(value)), F.col(time)
             hit &= {">": ts > at, ">=": ts >= at, "<": ts < at, "<=": ts <= at, "=": ts == at}[sign]
         return df.filter(~F.coalesce(hit, F.lit(False)) if negate else hit)
 
@@ -343,7 +508,9 @@ class Catalog:
         if t.take("OFFSET"):
             offset = int(t.next("number"))
         t.end()
-        df = self._filtered(self.table(name), where, key)
+        df = self.table(name, lambda df: self._filtered(df, where, key, time=m["fields"][0]["name"]))
+        if not m["kv"]:
+            df = df.withColumnRenamed(m["fields"][0]["name"], "ts")
         if m["kv"]:
             return df.orderBy(m["fields"][0]["name"])
         if shown == [("obj", "obj")]:
@@ -361,5 +528,6 @@ class Catalog:
         key = m["fields"][0]["name"].lower() if m["kv"] else "obj"
         where = self._where(t, key)
         t.end()
-        raw = self.raw(name)
-        self.replace(name, self._filtered(raw, where, key, negate=True) if where else without(raw))
+        left = lambda df: self._filtered(df, where, key, True, m["fields"][0]["name"]) if where else without(df)
+        open_ = self._read(m, [m["open"]]) if m["open"] else None
+        self.replace(name, left(self._read(m, m["parts"])), None if open_ is None else left(open_))

@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.time import add_duration, format_ts, micros, parse_datetime, round_ts
 from ..operators import chain, joins, kv, rollup, scan, sets, updaters
 from ..streaming.rollup import notices
+from . import table_queries
+from .series import S, day, one_per_time, series
 
 
-def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as a series: a user is an object, the event's number its arrival."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.select(F.concat(F.lit("U"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("obj"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("price"), F.col("event_type").alias("kind"))
-
-
-def purchases(df: DataFrame) -> DataFrame:
-    return df.filter("kind = 'purchase'").select("obj", "ts", "seq", F.col("price").alias("paid"))
-
-
-S = "s AS (SELECT 'U' || lpad(user_id::VARCHAR, 6, '0') AS obj, ts, event_id AS seq, value AS price, event_type AS kind FROM events)"
 AGGS = {"price AS first": "first", "price AS high": "max", "price AS low": "min", "price AS total": "sum", "price AS n": "count", "price AS mean": "avg", "kind AS kinds": "uniq_count", "price AS change": "diff_first", "price AS step": "diff_prev", "price AS before": "prev", "price AS close": "latest"}
 ROLLUP_SQL = """SELECT obj, {b} AS ts, arg_min(price, (ts, seq)) AS first, max(price) AS high, min(price) AS low, round(sum(price), 6) AS total, count(*) AS n,
  round(avg(price), 6) AS mean, count(DISTINCT kind) AS kinds, round(arg_max(price, (ts, seq)) - arg_min(price, (ts, seq)), 6) AS change,
@@ -34,10 +25,6 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if c in ("total", "mean", "change", "step") else F.col(c) for c in df.columns])
 
 
-def one_per_time(df: DataFrame) -> DataFrame:
-    return purchases(df).groupBy("obj", "ts").agg(F.max("paid").alias("paid"))
-
-
 def _asof(method):
     return lambda spark, d: joins.asof((s := series(spark, d)).select("obj", "ts", "seq", "price"), one_per_time(s), method)
 
@@ -55,9 +42,7 @@ def _nation_kv(spark, d):
 
 def _panel(spark, d):
     days = rollup.rollup(series(spark, d), "1d", {"price AS close": "latest"})
-    base = days.agg(F.min("obj").alias("obj"))
-    first = base.first()["obj"]  # one name
-    return joins.align(days, first, "backward").select("obj", "ts", "close", "pos")
+    return joins.align(days, days.agg(F.min("obj").alias("obj")), "backward").select("obj", "ts", "close", "pos")
 
 
 def _chain(spark, d):
@@ -67,10 +52,10 @@ def _chain(spark, d):
 
 
 def _updaters(spark, d):
-    s = series(spark, d).withColumn("day", updaters.period(86400))
     how = ("acc", "max", "min", "first", "diff_first", "diff_prev", "count", "avg")
     order = ["ts", "seq"]
-    return s.select("obj", *order, *[F.round(updaters.running(h, "price", order), 6).alias(h) for h in how], F.round(updaters.running("acc", "price", order, ["day"]), 6).alias("day_acc"))
+    s = updaters.carried(series(spark, d).withColumn("day", updaters.period(86400)), {h: h for h in how}, "price", order, day())
+    return s.select("obj", *order, *[F.round(h, 6).alias(h) for h in how], F.round(updaters.running("acc", "price", order, ["day"]), 6).alias("day_acc"))
 
 
 def _rounded(spark, d):
@@ -137,3 +122,5 @@ ORACLE_SQL = {
     "delete_range": f"WITH {S} SELECT * FROM s WHERE NOT (obj LIKE 'U0001%' AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20')",
     "change_notices": f"WITH {S} SELECT 'events' AS \"table\", obj, min(ts) AS min_ts, max(ts) AS max_ts, count(*) AS count FROM s GROUP BY obj",
 }
+QUERIES |= table_queries.QUERIES
+ORACLE_SQL |= table_queries.ORACLE_SQL

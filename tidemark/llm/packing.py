@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import struct
 import zlib
 from collections.abc import Callable
 from functools import lru_cache
@@ -35,7 +37,7 @@ END = 1
 #: Bytes of text that are tokenized at once; the library keeps about a hundred bytes for each of their tokens.
 AT_ONCE = 1 << 20
 #: Tokens of words that a worker remembers in each of two halves; the older half goes when the newer is full.
-HELD = 1 << 19
+HELD = 1 << 17
 MARK = "|"
 
 
@@ -71,15 +73,66 @@ def ends_at_blanks(path: str) -> bool:
     return steps[0] == first and plain and own and not spec.get("truncation") and not spec.get("padding")
 
 
+#: Fixed values of the vocabulary file: the end of a word, and pieces of a word in ASCII and western letters, which neither
+#: have other forms nor join with each other.
+WORD_END = "</w>"
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+WESTERN = re.compile("[!-~À-ÖØ-öø-ÿ]*+")
+
+
+def merger(path: str) -> Callable[[str], list[int]] | None:
+    """Ids of a piece by the vocabulary's merges, applied by rank, or None where ids don't follow the merges' order.
+
+    A byte no text has stands for the end of a word; a character with it is a token of its own, so it joins first.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    if model.get("type") != "BPE" or model.get("end_of_word_suffix") != WORD_END or model.get("continuing_subword_prefix") or model.get("dropout"):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+    byte_of = {chr(c): c for c in shown} | {chr(256 + k): c for k, c in enumerate(c for c in range(256) if c not in shown)}
+    end = b"\xff"
+    raw = lambda t: bytes(byte_of[c] for c in t.removesuffix(WORD_END)) + (end if t.endswith(WORD_END) else b"")
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    try:
+        single = {raw(t): i for t, i in model["vocab"].items() if len(t.removesuffix(WORD_END)) == 1}
+        ranks = dict(single) | {raw(a + b): model["vocab"][a + b] for a, b in pairs}
+    except KeyError:
+        return None
+    order = [model["vocab"][a + b] for a, b in pairs]
+    if order != sorted(order) or order[0] <= max(single.values()) or len(set(ranks.values())) != len(ranks) or any(bytes([c]) not in single or bytes([c]) + end not in single for c in range(33, 255)):
+        return None
+    ranks.setdefault(end, max(ranks.values()) + 1)
+    for c in range(256):  # bytes that the vocabulary doesn't have occur in no piece that is encoded here
+        ranks.setdefault(bytes([c]), len(ranks) + (1 << 20))
+    made = tiktoken.Encoding("merges", pat_str=".", mergeable_ranks=ranks, special_tokens={})
+    short: dict[str, list[int]] = {}  # pieces of up to three characters
+
+    def ids(piece: str) -> list[int]:
+        if len(piece) > 3:
+            return core(piece.encode() + end)
+        if piece not in short:
+            short[piece] = core(piece.encode() + end)
+        return short[piece]
+
+    core = made._core_bpe.encode_single_piece
+    return ids
+
+
 @lru_cache(1)  # a worker keeps what it knows from task to task
 def encoder(path: str | None = None, held: int = HELD) -> Callable[[list[str]], list[bytes]]:
-    """Little-endian token ids of texts: a word between blanks is encoded once and remembered, where the vocabulary allows."""
+    """Little-endian token ids of texts: a word between blanks is encoded once and remembered, where the vocabulary allows.
+    Words in western letters are cut into pieces and merged here; all others go through the tokenizer."""
     encode = word_bpe(path)
     if not ends_at_blanks(vocabulary(path)):
         return lambda texts: [np.array(ids, "<u4").tobytes() for ids in encode(texts)]
     known: dict[str, bytes] = {}
     old: dict[str, bytes] = {}
-    tokens, (bar,) = 0, encode([MARK])[0]
+    tokens, (bar,), merge = 0, encode([MARK])[0], merger(vocabulary(path))
+    if merge is not None and any([i for p in PIECES.findall(t.lower()) for i in merge(p)] != encode([t])[0] for t in ("Don't", "a1b22", "x--y!?", "internationalization", "'S'Ll", "zq#%9", "Übergrößenträger", "ÿÀé's")):
+        merge = None
 
     def run(texts: list[str]) -> list[bytes]:
         nonlocal tokens, known, old
@@ -90,6 +143,12 @@ def encoder(path: str | None = None, held: int = HELD) -> Callable[[list[str]],
         again = new & old.keys()
         known.update((w, old[w]) for w in again)
         new -= again
+        if merge is not None:
+            for w in [w for w in new if WESTERN.fullmatch(w) and "<|" not in w]:
+                ids = [i for p in PIECES.findall(w.lower()) for i in merge(p)]
+                known[w] = struct.pack(f"<{len(ids)}I", *ids)
+                tokens += len(ids)
+                new.discard(w)
         own = [w for w in new if MARK in w]
         rest = list(new.difference(own))
         for word, ids in zip(own, encode(own) if own else (), strict=True):

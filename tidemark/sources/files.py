@@ -48,8 +48,9 @@ def read_csv_body(spark: SparkSession, path: str, schema: T.StructType, skip: in
         lines = lines.join(F.broadcast(first), "i", "left_anti").select("value")
     got = parsed_lines(lines, schema, sep)
     if rejects is None:
-        stop = F.when(F.col(REJECT).isNotNull(), F.raise_error(F.concat(F.lit("not a row: "), F.col(REJECT))).cast("boolean")).otherwise(True)
-        return got.filter(stop).drop(REJECT)
+        # in every column and not as a filter, which would be tested before skipped lines are gone
+        stop = F.raise_error(F.concat(F.lit("not a row: "), F.col(REJECT)))
+        return got.select(*[F.when(F.col(REJECT).isNotNull(), stop.cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name) for f in got.schema if f.name != REJECT])
     good, bad = split_rejects(got)
     bad.write.mode("overwrite").text(rejects)
     return good

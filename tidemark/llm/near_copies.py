@@ -7,10 +7,10 @@ code that corrects three of 23 and keeps keys selective), so wider pairs come fr
 of ``DEEP`` hashes miss a pair at similarity 0.8 with a chance of (1 - 0.8^5)^30 = 7e-6, closer ones more rarely. Every pair
 is verified on the texts: the similarity of the two sets (held as 64-bit hashes) is counted exactly.
 
-A band shared by at most ``CROWD`` nodes is expanded into pairs. In a larger one each node is first held against one centre,
-the node that shares most. Nodes of bands that still hold several components are then compared across components where they
-share one of their rarest shingles (an exact prefix filter). So no component is lost, a large group of near copies of one
-text costs a comparison a member instead of its square, and documents with a common passage only aren't compared.
+In a band, of any size, each node is first held against one centre, the node that shares most. Nodes of bands that still
+hold several components are then compared across components where they share one of their rarest shingles (an exact prefix
+filter). So no component is lost, a large group of near copies of one text costs a comparison a member instead of its
+square, and documents with a common passage only aren't compared.
 
 Defined cases: as in ``simhash``, words are split at ASCII white space and ASCII letters become lower case; texts without
 words are copies of each other; a text of fewer words than a shingle is one shingle; texts are read whole; a row without
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import batches_of, checkpoint, discard, free_shuffles, rows, settle, stored
 from .simhash import components, links
 
-LEAST, SHINGLE, CROWD = 0.8, 5, 8
+LEAST, SHINGLE = 0.8, 5
 LAST = (1 << 63) - 1
 BANDS, DEEP = 30, 5
 AT_ONCE, BUCKETS = 1 << 11, 1 << 18
@@ -192,7 +192,7 @@ def across(held: DataFrame, least: float) -> DataFrame:
     return outside.join(against, "key").filter("own != other_own").filter(alike).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def grouped(df: DataFrame, id_col: str, text_col: str, least: float, shingle: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+def grouped(df: DataFrame, id_col: str, text_col: str, least: float, shingle: int) -> tuple[DataFrame, DataFrame]:
     """The stored prints (rid, th, node) of all rows, and the component of each node that has links."""
     rid, th = row_key(df, id_col, text_col)
     texts = df.select(rid.alias("rid"), th.alias("th"), df[text_col].cast("string").alias("text"))
@@ -209,20 +209,15 @@ def grouped(df: DataFrame, id_col: str, text_col: str, least: float, shingle: in
     named = nodes.join(held.select(F.col("b").alias("node"), F.col("a").alias("own")), "node", "left").select("keys", "node", "size", F.coalesce("own", "node").alias("own"))
     keyed = stored(named.select(F.explode("keys").alias("key"), "node", "size", "own").distinct(), "keys")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("own").alias("low"), F.max("own").alias("high"))
-    sizes = checkpoint(sizes.filter("low != high").select("key", "n"))
+    many = stored(keyed.join(checkpoint(sizes.filter("low != high").select("key", "n")), "key"), "mixed")
     alike = F.least("size", "other_size") >= least * F.greatest("size", "other_size") - 1e-6
     ordered = (F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
-    few = keyed.join(sizes.filter(F.col("n") <= crowd).select("key"), "key")
-    other = few.select("key", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("own").alias("other_own"))
-    pairs = few.join(other, "key").filter("node < other and own != other_own").filter(alike).select(*ordered)
-
-    many = stored(keyed.join(sizes.filter(F.col("n") > crowd), "key"), "crowded")
     weights = many.groupBy("node").agg(F.sum("n").alias("weight"))
     best = F.max(F.struct("weight", "node", "size", "own"))
     centres = checkpoint(many.join(weights, "node").groupBy("key").agg(best.alias("m")).select("key", F.col("m.node").alias("other"), F.col("m.size").alias("other_size"), F.col("m.own").alias("other_own")))
     stars = many.join(centres, "key").filter("own != other_own").filter(alike).select(*ordered)
-    wide = checkpoint(verified(checkpoint(pairs.unionByName(stars).distinct()), whole, least, shingle).unionByName(held))
+    wide = checkpoint(verified(checkpoint(stars.distinct()), whole, least, shingle).unionByName(held))
     reached = components(wide)
 
     called = many.drop("own").join(reached, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("own"))
@@ -237,9 +232,9 @@ def grouped(df: DataFrame, id_col: str, text_col: str, least: float, shingle: in
     return found.select("rid", "th", "node"), reached
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, shingle: int = SHINGLE, crowd: int = CROWD) -> DataFrame:
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and component_id of each row: the smallest doc_id that links of similar documents reach."""
-    found, reached = grouped(df, id_col, text_col, least, shingle, crowd)
+    found, reached = grouped(df, id_col, text_col, least, shingle)
     lowest = found.groupBy("node").agg(F.min("rid").alias("least")).join(reached, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     named = lowest.join(lowest.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
     known = lambda c: F.when(F.col(c) != LAST, F.col(c))
@@ -248,7 +243,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs, all columns, that come first in their component by doc_id; of repeated rows one."""
-    found, reached = grouped(docs, id_col, text_col, least, shingle, CROWD)
+    found, reached = grouped(docs, id_col, text_col, least, shingle)
     first = found.groupBy("node").agg(F.min(F.struct("rid", "th")).alias("r")).join(reached, "node", "left")
     kept = first.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("r").alias("r")).select("r.rid", "r.th")
     often = found.groupBy("rid", "th").count().filter("count > 1").select("rid", "th", F.lit(True).alias("often"))

@@ -62,6 +62,31 @@ def test_writers_and_versions(spark, tmp_path):
         c.run("CREATE TABLE w (ts DATETIME, v DOUBLE) WITH (chan='t: v, v')")
 
 
+def test_chains_go_on_after_a_crash(spark, tmp_path, monkeypatch):
+    c = Catalog(spark, str(tmp_path))
+    c.sql("CREATE TABLE v (ts DATETIME, x DOUBLE); CREATE TABLE u (ts DATETIME, x DOUBLE) WITH (chan='v: x'); CREATE TABLE w (ts DATETIME, x DOUBLE)")
+    c.run("CREATE TABLE t (ts DATETIME, x DOUBLE) WITH (chan='u,w: x')")
+    values = lambda n: sorted(r["x"] for r in c.table(n).collect())
+    keep, budget = Catalog._keep, [0]
+
+    def dies(self, meta):
+        if not budget[0]:
+            raise RuntimeError("crash")
+        budget[0] -= 1
+        keep(self, meta)
+
+    for k in range(6):  # the writer dies after its k-th version: none, of t, u, v, u again, w
+        with monkeypatch.context() as mp:
+            mp.setattr(Catalog, "_keep", dies)
+            budget[0] = k
+            with pytest.raises(RuntimeError):
+                c.run(f"INSERT INTO t (obj, ts, x) VALUES ('a', '2024-01-0{k + 1}', {k})")
+        c.recover()
+        assert values("u") == values("v") == values("w") == values("t") == [float(i) for i in range(1, k + 1)]
+    c.run("INSERT INTO t (obj, ts, x) VALUES ('a', '2024-01-09', 9)")
+    assert values("u") == values("v") == values("w") == values("t") == [1, 2, 3, 4, 5, 9]
+
+
 def test_client(spark, tmp_path):
     cl = Client(spark, str(tmp_path / "cat"))
     df = spark.createDataFrame([("a", D(k), float(k)) for k in range(1, 5)] + [("b", D(1), 9.0)], "obj string, ts timestamp_ntz, v double")

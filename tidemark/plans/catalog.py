@@ -6,7 +6,8 @@ A table's description names the folders that hold it and has a version; a write
 next version, so a reader sees the table before or after a write, a crash leaves the old version, and of two writers of one
 version the second fails. A table with ``round`` is rolled up as rows come in: buckets that newer ones have closed are stored
 as they are read, rows of each object's newest bucket stay raw in a small folder, late rows are dropped. A table with
-``chan`` hands each new row on to its targets, changed values against the object's row before, and so on along the chain.
+``chan`` hands each new row on to its targets, changed values against the object's row before, and so on along the chain; what
+is to be handed on is part of the source's version and what came is part of the target's, so a crash between loses or doubles none.
 Folders are ranged and sorted by object and time, so bounds on them prune files and row groups.
 """
 
@@ -224,9 +225,14 @@ class Catalog:
             got = got.unionByName(where(self._rolled(m, self._read(m, [m["open"]]))))
         return got.drop("_batch", "_seq")
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        """Add rows, which arrive in the order they are in. Chains end where they began: targets are written in turn."""
+    def append(self, name: str, rows: DataFrame, taken: tuple[str, str] | None = None) -> None:
+        """Add rows, which arrive in the order they are in; ``taken`` names the source and the folder of rows a chain hands on."""
         m = self.meta(name)
+        if m.get("pending"):
+            self.hand_on(name)
+            m = self.meta(name)
+        if taken is not None:
+            m["taken"] = m.get("taken", {}) | dict([taken])
         whole, ts = self.schema(m), m["fields"][0]["name"]
         shown = [F.col(f.name).cast(f.dataType).alias(f.name) for f in whole if f.name not in ("_batch", "_seq")]
         new = rows.select(*shown, F.lit(m["version"] + 1).cast("long").alias("_batch"), F.monotonically_increasing_id().alias("_seq"))
@@ -255,18 +261,35 @@ class Catalog:
             rule = chain.parse_rule(m["options"]["chan"])
             last = self._read(m, [m["last"]] if m["last"] else [])
             named = lambda df: df.withColumnRenamed(ts, "ts")
-            targets = [self.meta(t) for t in rule.targets]
+            targets = [self.meta(t) for t in rule.targets]  # all of them, before anything is written
             columns = [f["name"] for f in targets[0]["fields"][1:]]
-            passed = chain.project(named(added), rule, columns, ["ts", "_batch", "_seq"], last=named(last))
+            passed = chain.project(named(added), rule, columns, ["ts", "_batch", "_seq"], last=named(last)).withColumnRenamed("ts", ts)
             ends = last.unionByName(added).groupBy("obj").agg(F.max_by(F.struct(*whole.names), F.struct(ts, "_batch", "_seq")).alias("r")).select("r.*")
-            handed = self._write(m | {"name": f"{name}-chain"}, passed.withColumnRenamed("ts", ts))
-            after = after | {"last": self._write(m, ends)}
+            handed = self._write(m | {"name": f"{name}-chain"}, passed)
+            after = after | {"last": self._write(m, ends), "pending": {"folder": handed, "schema": passed.schema.jsonValue()}}
         self._keep(after)
         if m["options"].get("chan"):
-            kind = passed.withColumnRenamed("ts", ts).schema
-            for t in targets:
-                sent = self._read(m, [handed], kind).orderBy("obj", ts, "_batch", "_seq").withColumnRenamed(ts, t["fields"][0]["name"])
-                self.append(t["name"], sent)
+            self.hand_on(name)
+
+    def hand_on(self, name: str) -> None:
+        """Give a chain's targets the rows its source's last write left for them, each target once, also after a crash."""
+        m = self.meta(name)
+        if not (left := m.get("pending")):
+            return
+        ts = m["fields"][0]["name"]
+        for t in chain.parse_rule(m["options"]["chan"]).targets:
+            target = self.meta(t)
+            if target.get("taken", {}).get(name) != left["folder"]:
+                rows = self._read(m, [left["folder"]], T.StructType.fromJson(left["schema"])).orderBy("obj", ts, "_batch", "_seq")
+                self.append(t, rows.withColumnRenamed(ts, target["fields"][0]["name"]), (name, left["folder"]))
+            else:
+                self.hand_on(t)
+        self._keep(self.meta(name) | {"pending": None})
+
+    def recover(self) -> None:
+        """After a crash: finish what chains have left to hand on. A write does the same for its own table."""
+        for m in self._metas():
+            self.hand_on(m["name"])
 
     def replace(self, name: str, parts: DataFrame, open_: DataFrame | None = None) -> None:
         """The table's rows, and those of its open buckets, are these from now on."""

@@ -139,6 +139,20 @@ def test_streams_keep_state_over_restarts(spark, tmp_path):
     assert sorted((r[3], r[4]) for r in seen if r[0] == "chain") == [(1, 5.0), (2, 7.0), (3, 3.0), (4, 1.0), (5, 100.0)]
 
 
+def test_streams_call_python_by_shard_and_keep_whole_numbers(spark, tmp_path):
+    big, seen = 1 << 60, {}
+    df = spark.range(3000).select(F.format_string("o%04d", "id").alias("obj"), F.lit(D(1)).alias("ts"), F.when(F.col("id") % 7 > 0, F.col("id")).alias("seq"), F.when(F.col("id") % 5 > 0, F.col("id") + big).alias("v"))
+    df.write.parquet(str(tmp_path / "in"))
+    src = lambda: spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    streams = {"bars": state.exact_rollup(src(), "1d", {"v AS high": "max", "v AS n": "count"}), "chain": state.exact_chain(src(), chain.parse_rule("t: changed_if(v, seq)"), ["x"])}
+    for name, got in streams.items():
+        q = streaming.fan_out(got, {name: lambda b: b}, lambda n, b, k: seen.setdefault(n, []).extend(b.collect()), str(tmp_path / name))
+        q.awaitTermination(60)
+        assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= state.SHARDS
+    whole = [big + k if k % 5 else None for k in range(3000)]
+    assert [r["high"] for r in sorted(seen["bars"], key=lambda r: r["obj"])] == whole == [r["x"] for r in sorted(seen["chain"], key=lambda r: r["obj"])]
+
+
 def test_feed_and_windows(spark):
     feed = streaming.Feed(2)
     assert [feed.offer(k) for k in range(3)] == [True, True, False] and feed.take() == [0, 1] and feed.dropped == 1

@@ -248,16 +248,16 @@ def _periods(s, d):
 
 
 def _stream(s, d):
-    """The stream in micro-batches of one file each, then the last row of each bucket."""
+    """The stream in micro-batches of one span of time each, however many files it has, then the last row of each bucket."""
     path = scratch(s, "stream")
     e = series(s, d).select("obj", "ts", "seq", "price", "kind")
-    for low, high in (("2024-01-01", "2024-01-10 12:00:00"), ("2024-01-10 12:00:00", "2024-01-21"), ("2024-01-21", "2100-01-01")):  # files come in turn
-        e.filter((F.col("ts") >= F.lit(low).cast("timestamp_ntz")) & (F.col("ts") < F.lit(high).cast("timestamp_ntz"))).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    src = s.readStream.schema("obj string, ts timestamp_ntz, seq long, price double, kind string").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     aggs = {"price AS open": "first", "price AS high": "max", "price AS low": "min", "price AS n": "count", "kind AS kinds": "uniq_count", "price AS step": "diff_prev", "price AS close": "latest"}
-    got = state.exact_rollup(src, "1d", aggs)
-    q = streaming.fan_out(got, {"bars": lambda b: b}, lambda name, b, k: b.withColumn("batch", F.lit(k)).write.mode("overwrite").parquet(f"{path}/out/batch={k}"), f"{path}/checkpoint")
-    q.awaitTermination()
+    for low, high in (("2024-01-01", "2024-01-10 12:00:00"), ("2024-01-10 12:00:00", "2024-01-21"), ("2024-01-21", "2100-01-01")):
+        e.filter((F.col("ts") >= F.lit(low).cast("timestamp_ntz")) & (F.col("ts") < F.lit(high).cast("timestamp_ntz"))).write.mode("append").parquet(f"{path}/in")
+        src = s.readStream.schema("obj string, ts timestamp_ntz, seq long, price double, kind string").parquet(f"{path}/in")
+        got = state.exact_rollup(src, "1d", aggs)
+        q = streaming.fan_out(got, {"bars": lambda b: b}, lambda name, b, k: b.withColumn("batch", F.lit(k)).write.mode("overwrite").parquet(f"{path}/out/batch={k}"), f"{path}/checkpoint")
+        q.awaitTermination()  # all there is, then the next goes on from the checkpoint
     out = s.read.parquet(f"{path}/out")
     last = out.groupBy("obj", "ts").agg(F.max_by(F.struct("open", "high", "low", "n", "kinds", "step", "close"), F.struct("n", "batch")).alias("r"))
     return r6(last.select("obj", "ts", "r.*"), "step")

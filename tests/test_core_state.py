@@ -87,6 +87,25 @@ def test_chains_go_on_after_a_crash(spark, tmp_path, monkeypatch):
     assert values("u") == values("v") == values("w") == values("t") == [1, 2, 3, 4, 5, 9]
 
 
+def test_ties_of_one_time_arrive_by_number(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path))
+    c.sql("CREATE TABLE h (ts DATETIME, x DOUBLE AGG_FIRST, n INT AGG_COUNT) WITH (round='1h')")
+    c.run("CREATE TABLE t (ts DATETIME, x DOUBLE, one INT) WITH (chan='h: changed_if(x, one), one')")
+    df = spark.createDataFrame([("a", D(k // 8 + 1), -k, float(k // 2), 100 + k) for k in range(16)], "obj string, ts timestamp_ntz, seq long, x double, one long")
+    c.append("t", df.repartition(5), seq="seq")  # the last row of a time comes first
+    assert [(r["ts"], r["x"], r["n"]) for r in c.table("h").orderBy("ts").collect()] == [(D(1), 3.0, 8), (D(2), 7.0, 8)]
+    assert not list(tmp_path.glob("data/*-work/*"))
+
+
+def test_rows_before_are_found_without_a_join(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, None), ("a", 9, "y"), (None, 3, "z"), (None, 8, "w"), ("b", 5, "v")], "obj string, seq long, v string")
+    for size in (1, 4, 100):
+        got = rows.previous(df, ["v"], ["seq"], F.floor(F.col("seq") / size))
+        assert {r["seq"]: r["_previous"] and r["_previous"]["v"] for r in got.collect()} == {1: None, 2: "x", 9: None, 3: None, 8: "z", 5: None}
+        assert {r["seq"] for r in got.filter("_previous IS NULL").collect()} == {1, 3, 5}
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_client(spark, tmp_path):
     cl = Client(spark, str(tmp_path / "cat"))
     df = spark.createDataFrame([("a", D(k), float(k)) for k in range(1, 5)] + [("b", D(1), 9.0)], "obj string, ts timestamp_ntz, v double")

@@ -11,7 +11,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.time import micros
 from .rows import previous
 
 
@@ -59,7 +58,7 @@ def project(source: DataFrame, rule: Rule, columns: list[str], order: list[str],
     if missing := [f for i in rule.items for f in (i.field, i.other) if f and f.lower() not in names]:
         raise ValueError(f"unknown fields {missing}")
     if block is None:
-        block = F.floor(micros(order[0]) / 86_400_000_000) if source.schema[order[0]].dataType.simpleString().startswith("timestamp") else None
+        block = F.unix_date(F.col(order[0]).cast("date")) if source.schema[order[0]].dataType.simpleString().startswith("timestamp") else None
     watched = sorted({names[i.field.lower()] for i in rule.items if i.other})
     kept = [c for c in order if c not in ("obj", "ts")]
     if watched:

@@ -121,13 +121,13 @@ def push_rows(df: DataFrame, rows: list[tuple]) -> DataFrame:
 
 
 def previous(df: DataFrame, columns: list[str], order: list[str], block: Column | None = None, name: str = "_previous") -> DataFrame:
-    """Each row with a struct of the ``columns`` of the object's row before, null for the first; sorted inside blocks that
-    take over the last row of the blocks before."""
+    """Each row with a struct of the ``columns`` of the object's row before, null for the first; sorted inside blocks in front
+    of which the last row of the blocks before is put, so rows are dealt once and not joined."""
     block = F.floor(F.col(order[0]) / BLOCK) if block is None else block
-    df = df.withColumn("_block", block)
-    ends = df.groupBy("obj", "_block").agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_end"))
+    rows = df.withColumn("_block", block).withColumn("_carried", F.lit(False))
+    ends = rows.groupBy("obj", "_block").agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_end"))
     over = Window.partitionBy("obj").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    before = ends.select(F.col("obj").alias("_obj"), F.col("_block").alias("_of"), F.last("_end").over(over).alias("_before"))
-    here = F.lag(F.struct(*columns)).over(Window.partitionBy("obj", "_block").orderBy(*order))
-    rows = df.withColumn("_here", here).join(before, F.col("obj").eqNullSafe(F.col("_obj")) & F.col("_block").eqNullSafe(F.col("_of")))
-    return rows.select(*[c for c in df.columns if c != "_block"], F.coalesce("_here", "_before").alias(name))
+    before = ends.select("obj", "_block", F.lit(True).alias("_carried"), F.last("_end").over(over).alias("_before")).filter("_before IS NOT NULL")
+    before = before.select("obj", "_block", "_carried", *[F.col("_before").getField(c).alias(c) for c in columns if c != "obj"])
+    here = F.lag(F.struct(*columns)).over(Window.partitionBy("obj", "_block").orderBy(F.desc("_carried"), *order))
+    return rows.unionByName(before, allowMissingColumns=True).withColumn(name, here).filter(~F.col("_carried")).select(*df.columns, name)

@@ -8,7 +8,7 @@ version the second fails. A table with ``round`` is rolled up as rows come in: b
 as they are read, rows of each object's newest bucket stay raw in a small folder, late rows are dropped. A table with
 ``chan`` hands each new row on to its targets, changed values against the object's row before, and so on along the chain; what
 is to be handed on is part of the source's version and what came is part of the target's, so a crash between loses or doubles none.
-Folders are ranged and sorted by object and time, so bounds on them prune files and row groups.
+Folders that queries read are ranged and sorted by object and time, so bounds on them prune files and row groups.
 """
 
 from __future__ import annotations
@@ -186,10 +186,11 @@ class Catalog:
         schema = schema or self.schema(meta)
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/data/{f}" for f in folders]) if folders else self.spark.createDataFrame([], schema)
 
-    def _write(self, meta: dict, rows: DataFrame) -> str:
-        """Rows in a new folder, ranged and sorted by object and time, ``chunkSize`` rows to a file from a thousand chunks on."""
+    def _write(self, meta: dict, rows: DataFrame, ranged: bool = True) -> str:
+        """Rows in a new folder, ranged and sorted by object and time, ``chunkSize`` rows to a file from a thousand chunks on;
+        without ``ranged``, for what is only read whole, as they come."""
         folder = f"{meta['name']}/{meta['version'] + 1:012d}-{uuid.uuid4().hex[:8]}"
-        if not meta["kv"]:
+        if ranged and not meta["kv"]:
             ts = meta["fields"][0]["name"]
             rows = rows.repartitionByRange("obj", ts).sortWithinPartitions("obj", ts)
         most = int(float(meta["options"].get("chunkSize", 200)) * 1000)
@@ -225,8 +226,9 @@ class Catalog:
             got = got.unionByName(where(self._rolled(m, self._read(m, [m["open"]]))))
         return got.drop("_batch", "_seq")
 
-    def append(self, name: str, rows: DataFrame, taken: tuple[str, str] | None = None) -> None:
-        """Add rows, which arrive in the order they are in; ``taken`` names the source and the folder of rows a chain hands on."""
+    def append(self, name: str, rows: DataFrame, taken: tuple[str, str] | None = None, seq: str | None = None) -> None:
+        """Add rows, which arrive in the order they are in, or in that of the whole numbers in ``seq``, which needs no sort;
+        ``taken`` names the source and the folder of rows a chain hands on."""
         m = self.meta(name)
         if m.get("pending"):
             self.hand_on(name)
@@ -235,28 +237,32 @@ class Catalog:
             m["taken"] = m.get("taken", {}) | dict([taken])
         whole, ts = self.schema(m), m["fields"][0]["name"]
         shown = [F.col(f.name).cast(f.dataType).alias(f.name) for f in whole if f.name not in ("_batch", "_seq")]
-        new = rows.select(*shown, F.lit(m["version"] + 1).cast("long").alias("_batch"), F.monotonically_increasing_id().alias("_seq"))
+        arrival = F.monotonically_increasing_id() if seq is None else F.col(seq).cast("long")
+        new = rows.select(*shown, F.lit(m["version"] + 1).cast("long").alias("_batch"), arrival.alias("_seq"))
         if m["kv"]:
             return self._keep(m | {"parts": [*m["parts"], self._write(m, new)]})
-        fresh = self._write(m, new)  # once: what follows reads it several times
-        new, added = self._read(m, [fresh]), None
+        work = []  # folders of this write alone
+
+        def once(df: DataFrame) -> DataFrame:
+            """What follows reads these rows several times."""
+            work.append(self._write(m | {"name": f"{name}-work"}, df, False))
+            return self._read(m, work[-1:], df.schema)
+
         if not m["options"].get("round"):
-            after = m | {"parts": [*m["parts"], fresh]}
-            added = new
+            fresh = self._write(m, new)
+            after, added = m | {"parts": [*m["parts"], fresh]}, self._read(m, [fresh])
         else:
             bucket = round_ts(ts, m["options"]["round"], int(m["options"].get("tz", 0)))
-            open_ = self._read(m, [m["open"]] if m["open"] else []).withColumn("_bucket", bucket)
-            newest = open_.groupBy("obj").agg(F.max("_bucket").alias("_open")).withColumnRenamed("obj", "_obj")
-            kept = new.withColumn("_bucket", bucket).join(newest, F.col("obj").eqNullSafe(F.col("_obj")), "left").filter(F.col("_open").isNull() | (F.col("_bucket") >= F.col("_open")))
-            every = open_.unionByName(kept.select(*open_.columns))
-            top = every.groupBy("obj").agg(F.max("_bucket").alias("_top")).withColumnRenamed("obj", "_obj")
-            every = every.join(top, F.col("obj").eqNullSafe(F.col("_obj")))
+            new = new if taken else once(new)  # a chain's rows are in a folder already
+            both = self._read(m, [m["open"]] if m["open"] else []).withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True))).withColumn("_bucket", bucket)
+            tops = both.groupBy(F.col("obj").alias("_obj")).agg(F.max(F.when(~F.col("_new"), F.col("_bucket"))).alias("_open"), F.max("_bucket").alias("_top"))
+            every = once(both.join(tops, F.col("obj").eqNullSafe(F.col("_obj"))).filter("_open IS NULL OR _bucket >= _open").drop("_obj"))
             closed, still = every.filter("_bucket < _top").select(*whole.names), every.filter("_bucket = _top").select(*whole.names)
             after = m | {"parts": [*m["parts"], self._write(m, self._rolled(m, closed))], "open": self._write(m, still)}
             if m["options"].get("chan"):  # only rows that open a bucket are handed on
-                opening = kept.filter(F.col("_open").isNull() | (F.col("_bucket") > F.col("_open")))
+                opening = every.filter("_new AND (_open IS NULL OR _bucket > _open)")
                 first = opening.groupBy("obj", "_bucket").agg(F.min_by(F.struct(*whole.names), F.struct(ts, "_seq")).alias("r"))
-                added = first.select("r.*", "_bucket").withColumn(ts, F.col("_bucket")).select(*whole.names)
+                added = once(first.select("r.*", "_bucket").withColumn(ts, F.col("_bucket")).select(*whole.names))
         if m["options"].get("chan"):
             rule = chain.parse_rule(m["options"]["chan"])
             last = self._read(m, [m["last"]] if m["last"] else [])
@@ -265,9 +271,12 @@ class Catalog:
             columns = [f["name"] for f in targets[0]["fields"][1:]]
             passed = chain.project(named(added), rule, columns, ["ts", "_batch", "_seq"], last=named(last)).withColumnRenamed("ts", ts)
             ends = last.unionByName(added).groupBy("obj").agg(F.max_by(F.struct(*whole.names), F.struct(ts, "_batch", "_seq")).alias("r")).select("r.*")
-            handed = self._write(m | {"name": f"{name}-chain"}, passed)
-            after = after | {"last": self._write(m, ends), "pending": {"folder": handed, "schema": passed.schema.jsonValue()}}
+            handed = self._write(m | {"name": f"{name}-chain"}, passed, False)
+            after = after | {"last": self._write(m, ends, False), "pending": {"folder": handed, "schema": passed.schema.jsonValue()}}
         self._keep(after)
+        for folder in work:
+            fs, path = self._path("data", folder)
+            fs.delete(path, True)
         if m["options"].get("chan"):
             self.hand_on(name)
 
@@ -280,8 +289,11 @@ class Catalog:
         for t in chain.parse_rule(m["options"]["chan"]).targets:
             target = self.meta(t)
             if target.get("taken", {}).get(name) != left["folder"]:
-                rows = self._read(m, [left["folder"]], T.StructType.fromJson(left["schema"])).orderBy("obj", ts, "_batch", "_seq")
-                self.append(t, rows.withColumnRenamed(ts, target["fields"][0]["name"]), (name, left["folder"]))
+                rows = self._read(m, [left["folder"]], T.StructType.fromJson(left["schema"])).withColumnRenamed(ts, target["fields"][0]["name"])
+                if target["kv"]:  # by arrival alone
+                    self.append(t, rows.orderBy("obj", target["fields"][0]["name"], "_batch", "_seq"), (name, left["folder"]))
+                else:  # by time first, and these are of one batch
+                    self.append(t, rows, (name, left["folder"]), "_seq")
             else:
                 self.hand_on(t)
         self._keep(self.meta(name) | {"pending": None})

@@ -129,7 +129,7 @@ BARS_SQL = "SELECT obj, {b} AS ts, arg_min({o}, (ts, seq)) AS open, max({h}) AS
 
 
 def _ticks(s, d):
-    return series(s, d).select("obj", "ts", F.col("price").alias("open"), F.col("price").alias("high"), F.col("price").alias("low"), F.lit(1).cast("long").alias("n"), F.col("price").alias("mean"), F.col("price").alias("close"))
+    return series(s, d).select("obj", "ts", "seq", F.col("price").alias("open"), F.col("price").alias("high"), F.col("price").alias("low"), F.lit(1).cast("long").alias("n"), F.col("price").alias("mean"), F.col("price").alias("close"))
 
 
 def _on_write(s, d):
@@ -137,7 +137,7 @@ def _on_write(s, d):
     c, t = Catalog(s, scratch(s, "catalog")), _ticks(s, d)
     c.run(f"CREATE TABLE bars ({BARS}) WITH (round='1d')")
     for low, high in (("2024-01-01", "2024-01-10 12:00:00"), ("2024-01-10 12:00:00", "2024-01-20"), ("2024-01-05", "2024-01-06"), ("2024-01-20", "2025-01-01")):
-        c.append("bars", t.filter((F.col("ts") >= F.lit(low).cast("timestamp_ntz")) & (F.col("ts") < F.lit(high).cast("timestamp_ntz"))).orderBy("obj", "ts"))
+        c.append("bars", t.filter((F.col("ts") >= F.lit(low).cast("timestamp_ntz")) & (F.col("ts") < F.lit(high).cast("timestamp_ntz"))), seq="seq")
     return r6(c.table("bars"), "mean")
 
 
@@ -149,7 +149,7 @@ kept AS (SELECT b.obj, b.ts, b.seq + 1000000 * part AS seq, price FROM batches b
 
 
 def _chained(s, d, cascade=False):
-    c, t = Catalog(s, scratch(s, "catalog")), series(s, d).select("obj", "ts", "price", "kind")
+    c, t = Catalog(s, scratch(s, "catalog")), series(s, d).select("obj", "ts", "seq", "price", "kind")
     c.run("CREATE TABLE days (ts DATETIME, open DOUBLE AGG_FIRST, high DOUBLE AGG_MAX, seen INT AGG_COUNT) WITH (round='1d')")
     chan = ", chan='days: open, high, seen'" if cascade else ""
     c.run(f"CREATE TABLE hours (ts DATETIME, open DOUBLE AGG_FIRST, high DOUBLE AGG_MAX, seen INT AGG_COUNT) WITH (round='1h'{chan})")
@@ -157,7 +157,7 @@ def _chained(s, d, cascade=False):
     c.run("CREATE TABLE raw (ts DATETIME, price DOUBLE, one INT, kind TEXT) WITH (chan='hours: price, changed_if(price, one), one')")
     for k in range(2):
         half = t.filter((F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz")) == bool(k))
-        c.append("raw", half.select("obj", "ts", "price", F.lit(1).alias("one"), "kind").orderBy("obj", "ts"))
+        c.append("raw", half.select("obj", "ts", "seq", "price", F.lit(1).alias("one"), "kind"), seq="seq")
     return c.table("days" if cascade else "hours")
 
 
